@@ -137,8 +137,8 @@ def decode(encoded: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.t
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def digests(docs: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes. One pass, no shuffle."""
+def digests(docs: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes; the ids too, if asked for. One pass, no shuffle."""
     description = docs.sparkSession.sparkContext.broadcast(tokenizer_json(rank_path))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +146,16 @@ def digests(docs: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tik
         for whole in parts:
             for part in batches(whole, 4 << 20):
                 ids = c.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(map(len, ids), pa.int64()),
-                        pa.array((hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids), pa.string()),
-                        pa.array((hashlib.sha256(c.decode(x)).hexdigest() for x in ids), pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return _texts(docs).mapInArrow(run, DIGESTS)
+                packed = [np.array(x, "<u4") for x in ids]
+                columns = [
+                    part.column(0),
+                    pa.array(map(len, ids), pa.int64()),
+                    pa.array((hashlib.sha256(x.tobytes()).hexdigest() for x in packed), pa.string()),
+                    pa.array((hashlib.sha256(c.decode(x)).hexdigest() for x in ids), pa.string()),
+                ]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packed).view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    return _texts(docs).mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
