@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerstone.llm import byte_bpe, language_id, mixing, pii, quality, simhash, token_count
+from layerstone.llm import anisotropic, byte_bpe, cover_tree, html_text, language_id, mixing, pii, quality, simhash, token_count
 from layerstone.llm.common import read
 
 
@@ -22,15 +22,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, count="n_replaced")
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.search(read(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op8_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.search(read(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -43,8 +55,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
     "op5_pii": op5_pii,
+    "op6_cover_tree": op6_cover_tree,
     "op7_token_counts": op7_token_counts,
+    "op8_anisotropic": op8_anisotropic,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
 }
