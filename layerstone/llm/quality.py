@@ -206,7 +206,7 @@ def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], names: dict[str
     few = ids.count() <= BROADCAST_IDS
     trusted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["trusted_id"], "left_semi").select("text")
     table = model(trusted, docs)
-    extra = {names["language"]: F.coalesce(F.col("lang").cast("string"), F.lit("")), names["band"]: _band(F.length("text"))}
+    extra = {names["language"]: F.coalesce(F.col("lang").cast("string"), F.lit("")), names["band"]: F.when(F.length("text") > 0, _band(F.length("text")))}
     rows = scored(docs.withColumns(extra), table, [*keep, *extra], names["perplexity"])
     rows = materialize(rows, "scored")
     own = rows.select(*[F.col(names[c] if c in names else c).alias(c) for c in ("doc_id", "language", "band", "perplexity")])
