@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import fresh, materialize, word_count
+from layerstone.llm.common import few_files, fresh, materialize, word_count
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 17
 #: Documents to a bucket, about.
 BUCKET = 128
-#: The remaining budget that the dynamic programme is given, at most; larger ones are filled greedily first.
-PROGRAMME = 4096
+#: Bits that the dynamic programme may hold (steps times budget); a larger budget is filled greedily first.
+PROGRAMME = 1 << 28
 
 
 def best_sum(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
@@ -64,8 +64,9 @@ def best_sum(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     return taken
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, programme: int = PROGRAMME) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: int, bits: int = PROGRAMME) -> list[int]:
     """How many documents of each length to take so that their lengths sum to about budget."""
+    programme = bits // max(1, sum(c.bit_length() for c in counts))
     total = sum(x * c for x, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
@@ -171,7 +172,7 @@ def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     light = materialize(_annotated(docs, n, seed).select("doc_id", n["key"], n["size"], n["hash"]), "sizes")
     decisions, buckets = _decisions(light.select(F.col(n["key"]).alias("key"), F.col(n["size"]).alias("size"), F.col(n["hash"]).alias("hash")), seed, **shares)
     chosen = _select(light, n, decisions, buckets)
-    return chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(n["size"]).alias("size"), F.col(n["source_size"]).alias("source_size"), F.col(n["target"]).alias("target"), (F.col(n["size"]) * F.col(n["copies"])).alias("taken"))
+    return few_files(chosen).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(n["size"]).alias("size"), F.col(n["source_size"]).alias("source_size"), F.col(n["target"]).alias("target"), (F.col(n["size"]) * F.col(n["copies"])).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
@@ -182,4 +183,4 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     decisions, buckets = _decisions(light, seed, **shares)
     chosen = _select(rows, n, decisions, buckets).filter(F.col(n["copies"]) > 0)
     repeated = chosen.withColumn(n["bucket"], F.explode(F.array_repeat(F.lit(1), F.col(n["copies"]))))
-    return repeated.select(*docs.columns)
+    return few_files(repeated.select(*docs.columns))
