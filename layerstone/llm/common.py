@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Where the public tokenizer files live; a parameter everywhere it is used.
 TOKENIZER_DIR = "/opt/tokenizers"
 
+#: Partitions of written tables: at most so many a core, or rows a file where the rows are known.
+FILES_PER_CORE, ROWS_PER_FILE = 4, 1_000_000
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,11 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder once and read it back: cuts lineage and survives lost executors."""
+def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df in no more partitions than its rows (if known) or the cluster's cores need, so that it is written to few files.
+
+    Every file costs its task a fixed time and, on file systems without native support, a process.
+    Partitions are joined without a shuffle. Where executors come and go, their number tells
+    nothing, and only known rows are used.
+    """
+    spark = df.sparkSession
+    if rows is not None:
+        return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    return df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder once and read it back: cuts lineage and survives lost executors. rows: about how many there are, if known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/layerstone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df, rows).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import fresh, materialize
+from layerstone.llm.common import few_files, fresh, materialize
 
 #: For tests and demonstrations; production passes its own.
 KEY = "layerstone"
@@ -286,4 +286,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     if count:
         changed = changed.withColumn(count, F.coalesce(F.size(found), F.lit(0)))
         columns = [*columns, count]
-    return untouched.select(*columns).unionByName(changed.select(*columns))
+    return untouched.select(*columns).unionByName(few_files(changed.select(*columns)))

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from layerstone.llm.common import batches, fresh, materialize
+from layerstone.llm.common import batches, few_files, fresh, materialize
 from layerstone.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     of = known.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return each.join(of, each["fp"] == of["fp_"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return few_files(each.join(of, each["fp"] == of["fp_"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -286,7 +287,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     names = {n: fresh(docs, f"simhash_{n}") for n in ("row", "fp")}
     row, fp = F.col(names["row"]), F.col(names["fp"])
     columns, text = docs.columns, docs.columns.index("text")
-    fields = docs.schema.add(names["fp"], "long")
+    fields = T.StructType([*docs.schema.fields, T.StructField(names["fp"], T.LongType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
@@ -310,4 +311,4 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     firsts = known.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).filter("members > 1")
     groups = materialize(known.join(firsts, "root").select(F.col("fp").alias("group_fp"), F.col("stays.row").alias("stays")), "groups")
     joined = held.join(_small(groups), fp == F.col("group_fp"), "left")
-    return joined.filter(F.col("stays").isNull() | (F.col("stays") == row)).select(*columns)
+    return few_files(joined.filter(F.col("stays").isNull() | (F.col("stays") == row)).select(*columns))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerstone.llm.common import few_files
+
 #: Rows and queries to a block, about.
 ROWS, QUERIES = 2048, 2048
 
@@ -55,4 +57,4 @@ def best_of_blocks(rows: DataFrame, queries: DataFrame, search: Callable[[pa.Tab
     found = left.groupBy("q", "r", "dim").cogroup(right.groupBy("q", "r", "dim")).applyInArrow(run, f"query long, query_id long, row long, vec_id long, score {score}")
     order = [F.col("score").asc() if nearest_first else F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("row").asc()]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return few_files(ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
