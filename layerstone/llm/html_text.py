@@ -52,6 +52,8 @@ NOT_ARTICLE = set(
     "masthead footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations trending pagination pager skip search toolbar copyright disclaimer".split()
 )
+#: How compound words begin that mean the same; "commentary" is an article's.
+STEMS = ("advert", "adsense", "sponsor", "sidebar", "navbar", "navlink", "navlist", "navmenu", "navigation", "menubar", "breadcrumb", "footer", "commentlist", "commentform", "commentsection", "disqus", "cookie", "newsletter", "subscri", "popup", "related", "recommend", "pagination", "socialshar", "sharebar", "sharebutton")
 HEADER_WORDS = {"header", "topbar"}
 #: Start tags before which an open element of these names ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -86,7 +88,7 @@ def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, bool
     if tag in ("html", "body", "article", "main") and "comment" not in attrs.get("class", "").lower():
         return False, False
     words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} if attrs else set()
-    if tag in NOT_TEXT or attrs.get("role", "").lower() in ROLES or words & NOT_ARTICLE:
+    if tag in NOT_TEXT or attrs.get("role", "").lower() in ROLES or words & NOT_ARTICLE or any(w.startswith(STEMS) for w in words):
         return True, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True, False
@@ -185,6 +187,11 @@ def parse(page: str) -> Node:
         links += tag == "a"
         if node is not None:
             now = node
+    forms = [node for node in _nodes(root) if node.tag == "form"]
+    if forms:  # a form around most of a page is not one to fill in
+        everything = _length(root, True)
+        for node in forms:
+            node.junk = node.junk and _length(node, True) * 2 <= everything
     return root
 
 
@@ -320,8 +327,9 @@ def _digest(texts: list[str]) -> int:
     return xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _length(node: Node) -> int:
-    return 0 if node.junk else sum(len(i) if isinstance(i, str) else _length(i) for i in node.items)
+def _length(node: Node, junk: bool = False) -> int:
+    """Characters of text in a node; junk: whether those of what is no article count too."""
+    return 0 if node.junk and not junk else sum(len(i) if isinstance(i, str) else _length(i, junk) for i in node.items)
 
 
 def _roots(tree: Node) -> tuple[list[Node], bool]:

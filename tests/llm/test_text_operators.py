@@ -269,6 +269,20 @@ def test_pages_lose_their_template(spark):
         assert got[i]["n_chars"] == len(got[i]["text"])
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<form action=x><div><p>All of an old page</p><p>in one form</p></div></form><form><p>Search</p></form>", "All of an old page\nin one form"),
+        ("<div id='cookieBanner'>We use cookies</div><main><h2>Head</h2><p>Text<aside>aside</aside></p><section class='comments'><p>nice</p></section></main>", "Head\nText"),
+        ("<body><article><header><h1>Title</h1><span>by me</span></header><p>One</p><footer>f</footer><div class='related-posts'><p>More</p></div></article><article class=x><p>Two</p></article>", "Title\nOne"),
+        ("<ul class=nav-links><li>a</ul><div class=commentary><p>Opinion <i>piece</i>, with <a href=x>a link</a>.</p></div>", "Opinion piece, with a link."),
+        ("<p>a &lt;b&gt; &amp;amp; &#8364; &nbsp; x</p><table><tr><td>1<td>2</table><script>if (a<b) {'</p>'}</script><style>p{}</style>", "a <b> &amp; € x\n1\n2"),
+    ],
+)
+def test_page_parts(html, text):
+    assert html_text.main_text(html_text.parse(html), {}) == text
+
+
 def test_article_text_equals_plain_reading(spark, data):
     import html
 
