@@ -1,36 +1,64 @@
 """Range deletes: [start, end) hides every older version of the keys within.
 
 Overlapping tombstones are first cut into elementary segments, each with the newest seq over it, so
-a row meets at most one segment. A list whose size is checked is broadcast as one sorted array and searched; a longer one
-goes through the ordered merge, where each row finds the segment that starts at or before its key.
+a row meets at most one segment. Few tombstones (their number is checked) are broadcast; more are cut
+by a segment tree in equality joins, and rows find their segment by the ordered merge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstone.plans.ordered import seek
+from layerstone.plans.ordered import neighbours, numbered, seek
 
-#: Segments that are broadcast at most.
+#: Tombstones, or segments, that are broadcast at most.
 BROADCAST = 10_000
 
 
-def segments(tombstones: DataFrame) -> DataFrame:
-    """start, end, seq: disjoint segments with the newest seq of the tombstones over each; empty ranges are ignored.
-
-    Every tombstone covers a run of neighbouring boundaries; only those are paired.
-    """
-    real = tombstones.filter(F.col("start") < F.col("end"))
+def segments(tombstones: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """start, end, seq: disjoint segments with the newest seq of the tombstones over each; empty ranges are ignored."""
+    real = tombstones.filter(F.col("start") < F.col("end")).select("start", "end", "seq").cache()
     bounds = real.select(F.col("start").alias("at")).unionByName(real.select(F.col("end").alias("at"))).distinct()
-    pieces = bounds.withColumn("until", F.lead("at").over(Window.orderBy("at"))).filter("until is not null")
-    over = pieces.join(real, (F.col("start") <= F.col("at")) & (F.col("end") >= F.col("until")))
+    if real.count() > broadcast:
+        return _by_tree(real, bounds.cache())
+    pieces = bounds.withColumn("until", F.lead("at").over(Window.orderBy("at"))).filter("until is not null")  # twice the checked number
+    over = pieces.join(F.broadcast(real), (F.col("start") <= F.col("at")) & (F.col("end") >= F.col("until")))
     return over.groupBy(F.col("at").alias("s"), F.col("until").alias("e")).agg(F.max("seq").alias("newest")).select(F.col("s").alias("start"), F.col("e").alias("end"), F.col("newest").alias("seq"))
 
 
+def _nodes(low: Column, high: Column, levels: int) -> Column:
+    """The nodes (level, place) of a binary tree over pieces that make up the pieces low to high - 1: two a level at most."""
+    node = lambda level, place: F.array(F.struct(level.alias("level"), place.alias("place")))
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
+
+    def step(s: Column, level: Column) -> Column:
+        open_, odd_low, odd_high = s["low"] < s["high"], s["low"] % 2 == 1, s["high"] % 2 == 1
+        left = F.when(open_ & odd_low, node(level, s["low"])).otherwise(none)
+        right = F.when(open_ & odd_high & (s["high"] - 1 >= s["low"] + odd_low.cast("bigint")), node(level, s["high"] - 1)).otherwise(none)
+        up = lambda x: F.shiftright(x, 1)
+        return F.struct(up(s["low"] + odd_low.cast("bigint")).alias("low"), up(s["high"] - odd_high.cast("bigint")).alias("high"), F.concat(s["nodes"], left, right).alias("nodes"))
+
+    start = F.struct(low.alias("low"), high.alias("high"), none.alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda s: s["nodes"])
+
+
+def _by_tree(real: DataFrame, bounds: DataFrame) -> DataFrame:
+    """segments() for any number of tombstones: each goes to its few tree nodes, each piece asks its node of every level."""
+    levels = max(1, bounds.count().bit_length())
+    placed = numbered(bounds, "at", "place", start=0).cache()
+    low, high = (placed.select(F.col("at").alias(c), F.col("place").alias(f"{c}_place")) for c in ("start", "end"))
+    covered = real.join(low, "start").join(high, "end").select("seq", F.explode(_nodes(F.col("start_place"), F.col("end_place"), levels)).alias("n"))
+    newest = covered.groupBy(F.col("n.level").alias("level"), F.col("n.place").alias("node")).agg(F.max("seq").alias("seq"))
+    pieces = neighbours(placed, "at", "until", following=True).filter("until is not null")
+    asked = pieces.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(place, level)"))
+    found = asked.join(newest, ["level", "node"]).groupBy("at", "until").agg(F.max("seq").alias("seq"))
+    return found.select(F.col("at").alias("start"), F.col("until").alias("end"), "seq")
+
+
 def apply(log: DataFrame, tombstones: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """The rows of log that no tombstone hides."""
-    cut = segments(tombstones).select(F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("seq").alias("t_seq")).cache()
+    cut = segments(tombstones, broadcast).select(F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("seq").alias("t_seq")).cache()
     if cut.count() <= broadcast:
         hidden = (F.col("key") >= F.col("t_start")) & (F.col("key") < F.col("t_end")) & (F.col("t_seq") > F.col("seq"))
         return log.join(F.broadcast(cut), hidden, "left_anti")

@@ -94,6 +94,17 @@ def test_range_deletes(spark):
     assert rows(range_delete.apply(log, table.limit(0))) == set(ops)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_many_range_deletes_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    stones = [(s := rng.randrange(60), s + rng.randrange(12), rng.randrange(100)) for _ in range(40)]
+    table = spark.createDataFrame(stones, "start long, end long, seq long")
+    bounds = sorted({x for s, e, _ in stones if s < e for x in (s, e)})
+    want = {(a, b, max(over)) for a, b in zip(bounds, bounds[1:]) if (over := [q for s, e, q in stones if s <= a and b <= e])}
+    assert rows(range_delete.segments(table)) == want
+    assert rows(range_delete.segments(table, broadcast=0)) == want
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 7])
 def test_seeks_equal_bisect(spark, ranges):
     rng = random.Random(5)
