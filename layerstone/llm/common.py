@@ -13,6 +13,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 
 #: Partitions of written tables: at most so many a core, or rows a file where the rows are known.
 FILES_PER_CORE, ROWS_PER_FILE = 4, 1_000_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,7 +78,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(starts, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("bigint")
 
 
-def batches(batch, limit_bytes: int = 8 << 20, column: int = 1):
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session limited to BATCH_BYTES where nothing smaller is set.
+
+    Python workers and the JVM each hold whole batches, so this bounds what a task needs however long texts are.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == f"{64 << 20}b":  # Spark's own
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def batches(batch, limit_bytes: int = 2 << 20, column: int = 1):
     """Slices of an Arrow batch of about limit_bytes of text each, so memory follows the texts and not the row count."""
     n, start, used = batch.num_rows, 0, 0
     sizes = _lengths(batch.column(column))

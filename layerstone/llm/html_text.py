@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import batches, materialize
+from layerstone.llm.common import batches, materialize, small_batches
 
 #: A slot is template if at least CONSTANT of at least PAGES aligned pages show the same text in it.
 CONSTANT, PAGES = 0.9, 10
@@ -400,7 +400,7 @@ def _slot_counts(pages: DataFrame) -> DataFrame:
         wrappers = Wrappers()
         for whole in parts:
             found: Counter[tuple[str, int, int]] = Counter()
-            for part in batches(whole, 4 << 20, 1):
+            for part in batches(whole, column=1):
                 for host, page, pivot in zip(*(c.to_pylist() for c in part.columns[:3])):
                     for node in _nodes(wrappers.aligned(page, host, pivot)):
                         if node.slot >= 0 and not node.junk and (texts := runs(node)):
@@ -408,19 +408,19 @@ def _slot_counts(pages: DataFrame) -> DataFrame:
             hosts, slots, texts = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(texts, pa.int64()), pa.array(found.values(), pa.int64())], names=["host", "slot", "text", "n"])
 
-    return pages.select("host", "html", "pivot").mapInArrow(run, "host string, slot int, text long, n long")
+    return small_batches(pages).select("host", "html", "pivot").mapInArrow(run, "host string, slot int, text long, n long")
 
 
 def _texts(pages: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = Wrappers()
         for whole in parts:
-            for part in batches(whole, 4 << 20, 1):
+            for part in batches(whole, column=1):
                 host, page, pivot, template = (c.to_pylist() for c in part.columns[:4])
                 texts = [main_text(wrappers.aligned(p, h, v), {x["slot"]: x["text"] for x in t or ()}) for h, p, v, t in zip(host, page, pivot, template)]
                 yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("host", "html", "pivot", "template", "page_id", "url").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select("host", "html", "pivot", "template", "page_id", "url").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def extract(pages: DataFrame, constant: float = CONSTANT, least: int = PAGES) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import batches
+from layerstone.llm.common import batches, small_batches
 
 #: Bounds of what is learned from.
 ROWS_PER_LANGUAGE = 128
@@ -121,7 +121,7 @@ def classify(docs: DataFrame, learned: list[tuple[str, bytes]], level: int = LEV
                     names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return texts.mapInArrow(run, SCHEMA)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstone.llm.common import batches, fresh, materialize
+from layerstone.llm.common import batches, fresh, materialize, small_batches
 
 ORDER = 4
 #: Rows of the probability table to a broadcast shard (12 bytes a row), and trusted ids that are broadcast.
@@ -50,7 +50,7 @@ class Units:
         self.lengths = np.array([len(x) // 2 for x in each], np.int64)
         self.units = np.frombuffer(pad + pad.join(each), "<u2") if each else np.zeros(0, "<u2")
         self.spans = self.lengths + ORDER - 1
-        begins = np.cumsum(self.spans) - self.spans
+        self.begins = begins = np.cumsum(self.spans) - self.spans
         self.inside = np.ones(len(self.units), bool)
         for k in range(ORDER - 1):
             self.inside[begins + k] = False
@@ -68,12 +68,14 @@ class Units:
 
     def sums(self, codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Each text's sum of log probabilities; 4-grams that are not in codes add nothing."""
-        owner = np.repeat(np.arange(len(self.lengths)), self.spans)
         total = np.zeros(len(self.lengths))
         if len(codes):
             for part, grams in self.blocks():
                 at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-                total += np.bincount(owner[part], np.where(self.inside[part] & (codes[at] == grams), logs[at], 0.0), len(total))
+                found = np.where(self.inside[part] & (codes[at] == grams), logs[at], 0.0)
+                first, last = np.searchsorted(self.begins, (part.start, part.stop - 1), "right") - 1
+                begins = self.begins[first : last + 1]
+                total[first : last + 1] += np.add.reduceat(found, np.maximum(begins - part.start, 0))
         return total
 
 
@@ -82,13 +84,13 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for part in batches(whole, 4 << 20, 0):
+            for part in batches(whole, 1 << 20, 0):
                 units = Units(part.column(0).to_pylist())
                 for place, grams in units.blocks():
                     codes, n = np.unique(grams[units.inside[place]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
+    return small_batches(texts).select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
 
 
 def _suffix(code: Column, order: int) -> Column:
@@ -108,7 +110,7 @@ def _discounts(grams: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.05) if n[k - 1] else k / 2 for k in (1, 2, 3)]
 
 
-def _probabilities(wanted: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+def _probabilities(wanted: DataFrame, grams: DataFrame, order: int, rows: int) -> DataFrame:
     """code, p for the codes of wanted: discounted count over the context's, plus the context's spare mass times the lower order's p."""
     d = _discounts(grams)
     off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
@@ -119,8 +121,8 @@ def _probabilities(wanted: DataFrame, grams: DataFrame, order: int) -> DataFrame
             return wanted.select("code", F.lit(1.0).alias("p"))
         return wanted.join(grams, "code", "left").select("code", (F.coalesce(F.col("c") - off, F.lit(0.0)) / total + F.lit(spare / total / (kinds + 1))).alias("p"))
     context = grams.groupBy(_context(F.col("code")).alias("context")).agg(F.sum("c").alias("total"), F.sum(off).alias("spare"))
-    lower_grams = materialize(grams.groupBy(_suffix(F.col("code"), order).alias("code")).agg(F.count("*").alias("c")), "grams")
-    lower = _probabilities(wanted.select(_suffix(F.col("code"), order).alias("code")).distinct(), lower_grams, order - 1)
+    lower_grams = materialize(grams.groupBy(_suffix(F.col("code"), order).alias("code")).agg(F.count("*").alias("c")), "grams", rows)
+    lower = _probabilities(wanted.select(_suffix(F.col("code"), order).alias("code")).distinct(), lower_grams, order - 1, rows)
     known = wanted.join(grams, "code", "left").select("code", (F.col("c") - off).alias("left"), _context(F.col("code")).alias("context"), _suffix(F.col("code"), order).alias("suffix"))
     joined = known.join(context, "context", "left").join(lower.select(F.col("code").alias("suffix"), "p"), "suffix")
     return joined.select("code", (F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("spare") / F.col("total"), F.lit(1.0)) * F.col("p")).alias("p"))
@@ -129,10 +131,11 @@ def _probabilities(wanted: DataFrame, grams: DataFrame, order: int) -> DataFrame
 def model(trusted: DataFrame, docs: DataFrame) -> DataFrame | None:
     """code, log_p of every 4-gram of docs under the model of the trusted texts; None without trusted text."""
     grams = materialize(gram_counts(trusted), "grams")
-    if grams.isEmpty():
+    n = grams.count()
+    if not n:
         return None
-    wanted = gram_counts(docs).select("code")
-    return materialize(_probabilities(materialize(wanted, "wanted"), grams, ORDER).select("code", F.log("p").cast("float").alias("log_p")), "model")
+    wanted = materialize(gram_counts(docs).select("code"), "wanted")
+    return materialize(_probabilities(wanted, grams, ORDER, n).select("code", F.log("p").cast("float").alias("log_p")), "model", wanted.count())
 
 
 def _shards(table: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,14 +152,14 @@ def scored(docs: DataFrame, table: DataFrame | None, keep: list[str], name: str
     """The columns keep of docs and each row's perplexity under name. No shuffle where the table is one shard."""
     if table is None:
         return docs.select(*keep, F.lit(None).cast("double").alias(name))
-    context = docs.sparkSession.sparkContext
+    context = small_batches(docs).sparkSession.sparkContext
     text, kept = docs.columns.index("text"), [docs.columns.index(c) for c in keep]
 
     def scorer(shared, out: list[int]):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, logs = shared.value
             for whole in parts:
-                for part in batches(whole, 4 << 20, text):
+                for part in batches(whole, 1 << 20, text):
                     units = Units(part.column(text).to_pylist())
                     columns = [part.column(i) for i in out]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(units.sums(codes, logs)), pa.array(units.lengths)], names=[str(i) for i in range(len(out) + 2)])
@@ -202,7 +205,7 @@ def thresholds(scores: DataFrame, ids: DataFrame, quantile: float = QUANTILE, en
 
 
 def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], names: dict[str, str]) -> DataFrame:
-    ids = materialize(_trusted_ids(labels), "trusted")
+    ids = materialize(_trusted_ids(labels), "trusted", labels.count())
     few = ids.count() <= BROADCAST_IDS
     trusted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["trusted_id"], "left_semi").select("text")
     table = model(trusted, docs)
@@ -210,7 +213,7 @@ def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], names: dict[str
     rows = scored(docs.withColumns(extra), table, [*keep, *extra], names["perplexity"])
     rows = materialize(rows, "scored")
     own = rows.select(*[F.col(names[c] if c in names else c).alias(c) for c in ("doc_id", "language", "band", "perplexity")])
-    limits = materialize(thresholds(own, ids), "thresholds")
+    limits = materialize(thresholds(own, ids), "thresholds", 1000)
     # at most (languages + 1) * (bands + 1) rows: checked before it is broadcast
     small = (lambda x: F.broadcast(x)) if limits.count() <= 10_000 else (lambda x: x)
     limit = lambda g, *on: limits.filter(f"g = {g}").select(*[F.col(c).alias(f"{names[c]}{g}") for c in on], F.col("threshold").alias(f"{names['threshold']}{g}"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstone.llm.common import batches, few_files, fresh, materialize
+from layerstone.llm.common import batches, few_files, fresh, materialize, small_batches
 from layerstone.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for part in batches(whole):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_batch(part.column(1).to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row."""
     each = materialize(fingerprints(docs, words), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), distance))
+    roots = components(links(distinct.select("fp"), distance), each.count())
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     of = known.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
@@ -264,12 +264,12 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for part in batches(whole, 2 << 20):
+            for part in batches(whole):
                 sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["fp", "shingles"])
 
-    return rows.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+    return small_batches(rows).select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
 
 
 def _small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -295,20 +295,21 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
                 hashes = pa.array(fingerprint_batch(part.column(text).to_pylist(), words).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, hashes], names=fields.names)
 
-    held = materialize(docs.select(*columns).mapInArrow(run, fields).withColumn(names["row"], F.monotonically_increasing_id()), "fingerprinted")
+    held = materialize(small_batches(docs).select(*columns).mapInArrow(run, fields).withColumn(names["row"], F.monotonically_increasing_id()), "fingerprinted")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row.alias("row"))
-    distinct = materialize(held.groupBy(fp.alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct")
-    candidates = materialize(links(distinct.select("fp"), distance).distinct(), "candidates")
+    n = held.count()
+    distinct = materialize(held.groupBy(fp.alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct", n)
+    candidates = materialize(links(distinct.select("fp"), distance).distinct(), "candidates", n)
     ends = candidates.select(F.col("a").alias("end")).unionByName(candidates.select(F.col("b").alias("end"))).distinct()
-    wanted = materialize(distinct.join(ends, distinct["fp"] == ends["end"]).select(F.col("first.row").alias("wanted")), "wanted")
+    wanted = materialize(distinct.join(ends, distinct["fp"] == ends["end"]).select(F.col("first.row").alias("wanted")), "wanted", n)
     texts = held.join(_small(wanted), row == F.col("wanted"), "left_semi").select(fp.alias("fp"), F.col("text").cast("string").alias("text"))
     sets = materialize(_shingle_sets(texts, words), "shingles")
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     verified = candidates.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
-    roots = components(verified)
+    roots = components(verified, n)
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     firsts = known.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).filter("members > 1")
-    groups = materialize(known.join(firsts, "root").select(F.col("fp").alias("group_fp"), F.col("stays.row").alias("stays")), "groups")
+    groups = materialize(known.join(firsts, "root").select(F.col("fp").alias("group_fp"), F.col("stays.row").alias("stays")), "groups", n)
     joined = held.join(_small(groups), fp == F.col("group_fp"), "left")
     return few_files(joined.filter(F.col("stays").isNull() | (F.col("stays") == row)).select(*columns))

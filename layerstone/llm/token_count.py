@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import TOKENIZER_DIR, batches
+from layerstone.llm.common import TOKENIZER_DIR, batches, small_batches
 
 #: Texts of more characters than this are cut into chunks of this many.
 CHUNK_CHARS = 1 << 15
@@ -136,4 +136,4 @@ def count_tokens(docs: DataFrame, model_path: str = f"{TOKENIZER_DIR}/piece_bpe_
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

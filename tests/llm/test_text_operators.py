@@ -398,6 +398,17 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, real):
         assert [(t or "").encode()[a:b] for a, b in zip(spans[d]["starts"], spans[d]["ends"])] == [plain.decode_single_token_bytes(i) for i in ids]
 
 
+def test_long_texts_are_cut_where_matches_meet(real):
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.PATTERN, mergeable_ranks=byte_bpe.read_ranks(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"), special_tokens={})
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["the", " ", "  ", "\n", "\r\n", "I'll", "é", "日本。語", "x1 y", ". ", "!a", "\u3000", "can't go"]) for _ in range(80))
+        cut = list(byte_bpe.pieces(text, 20))
+        assert "".join(cut) == text
+        assert [i for p in cut for i in plain.encode_ordinary(p)] == plain.encode_ordinary(text)
+    assert max(len(p) for p in byte_bpe.pieces("some words " * 1000, 50)) < 70
+
+
 # --- mixing
 
 
