@@ -16,10 +16,10 @@ from layerstone.llm.common import materialize
 MAX_ROUNDS = 100
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) for every node of edges (a, b: BIGINT); self-links and nulls are ignored."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, root (smallest node reachable) for every node of edges (a, b: BIGINT; about rows of them, if known); self-links and nulls are ignored."""
     a, b = F.col("a"), F.col("b")
-    now = materialize(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    now = materialize(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges", rows)
     before = _mark(now)
     for _ in range(MAX_ROUNDS):
         if not before[0]:

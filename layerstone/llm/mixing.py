@@ -138,12 +138,12 @@ def _annotated(docs: DataFrame, names: dict[str, str], seed: int) -> DataFrame:
 
 def _decisions(light: DataFrame, seed: int, **shares) -> tuple[DataFrame, int]:
     """What each bucket of (key, size, hash) rows gives: base, take (of its size) and before (rows of its size in earlier buckets); and the number of buckets."""
-    counts = materialize(light.groupBy("key", "size").agg(F.count("*").alias("n")), "lengths")
+    counts = materialize(light.groupBy("key", "size").agg(F.count("*").alias("n")), "lengths", light.count())
     largest = counts.agg(F.max("n")).first()[0] or 0
     buckets = max(1, -(-largest // BUCKET))
     goals = targets(counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), **shares)
     plan = counts.join(F.broadcast(goals) if goals.count() <= 100_000 else goals, "key").groupBy("key").applyInPandas(_plan, "key string, size long, source_size long, target double, base int, take long")
-    plan = materialize(plan, "plan")
+    plan = materialize(plan, "plan", counts.count())
     held = light.groupBy("key", "size", F.pmod("hash", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     dealt = held.join(plan, ["key", "size"]).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))

@@ -214,7 +214,9 @@ def _mapping(units: DataFrame, key: str) -> DataFrame:
     # of an address only the local part is exchanged here; its domain is a unit of its own
     form = F.when(F.col("kind") == "email", F.regexp_extract("norm", "^(.*)@", 1)).otherwise(F.col("norm"))
     drawn = _surrogate(F.col("kind"), F.col("norm"), form, F.col("keep"), F.col("attempt"), key)
-    now = materialize(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", drawn), "units")
+    units = materialize(units, "units")
+    n = units.count()
+    now = materialize(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", drawn), "units", n)
     for _ in range(ATTEMPTS + 2):
         first = Window.partitionBy("kind", "taken_as").orderBy("attempt", "norm")
         known = now.select("kind", F.col("norm").alias("own"))
@@ -222,11 +224,11 @@ def _mapping(units: DataFrame, key: str) -> DataFrame:
         placed = now.withColumn("taken_as", whole)
         real = placed.join(known.withColumnRenamed("kind", "own_kind"), (F.col("kind") == F.col("own_kind")) & (F.col("taken_as") == F.col("own")), "left").drop("own_kind")
         judged = real.withColumn("again", (F.row_number().over(first) > 1) | F.col("own").isNotNull() & (F.col("attempt") <= ATTEMPTS))
-        judged = materialize(judged.select("kind", "norm", "keep", "attempt", "surrogate", "again"), "units")
+        judged = materialize(judged.select("kind", "norm", "keep", "attempt", "surrogate", "again"), "units", n)
         if judged.filter("again").isEmpty():
             return judged.select("kind", "norm", "surrogate")
         redrawn = judged.filter("again").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", drawn)
-        now = materialize(judged.filter("not again").unionByName(redrawn).drop("again"), "units")
+        now = materialize(judged.filter("not again").unionByName(redrawn).drop("again"), "units", n)
     return now.select("kind", "norm", "surrogate")
 
 
