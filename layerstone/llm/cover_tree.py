@@ -2,10 +2,11 @@
 
 Vectors become integers, floor(256 x). Each block of queries and each block of rows is indexed in a
 cover tree: a node's children are centres more than its cover radius apart, and every point of a
-child lies within its radius of its centre. Pairs of nodes are visited together, best bound first.
-For a query within a of centre p and a row within b of centre q the inner product is at most
+child lies within the child's radius of its centre. The query tree is walked down with the row nodes
+that are still of use to each query node; a leaf of queries opens them best bound first. For a query
+within a of centre p and a row within b of centre q the inner product is at most
 <p, q> + |p| b + |q| a + a b; a pair goes once that is below the worst kth score in the query node.
-What is left is scored exactly, in whole numbers.
+What is left is scored exactly, in whole numbers, many rows at a time.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; only
 vectors of one length meet; a query's own row is no candidate, another row with its vec_id is; equal
@@ -25,8 +26,8 @@ from layerstone.llm.common import materialize
 from layerstone.llm.vectors import best_of_blocks, matrix, usable
 
 K, EVERY, SCALE = 5, 50, 256
-#: Points to a leaf at most, and what a level's cover radius is divided by.
-LEAF, BASE = 48, 1.6
+#: Points to a leaf at most, what a level's cover radius is divided by, children at most, and rows scored at once.
+LEAF, BASE, FANOUT, CHUNK = 128, 1.6, 16, 1024
 
 
 class Node:
@@ -38,11 +39,10 @@ class Node:
         self.radius = float(np.sqrt(((data[points] - self.centre) ** 2).sum(1).max()))
 
 
-def build(data: np.ndarray, points: np.ndarray | None = None) -> Node:
-    """The cover tree of rows of data."""
-    if points is None:
-        points = np.arange(len(data))
-    root = Node(data, points, int(points[0]))
+def build(data: np.ndarray) -> Node:
+    """The cover tree of rows of data. A level ends early at FANOUT centres; a child's radius is what its points need."""
+    points = np.arange(len(data))
+    root = Node(data, points, 0)
     rest = [root]
     while rest:
         node = rest.pop()
@@ -53,7 +53,7 @@ def build(data: np.ndarray, points: np.ndarray | None = None) -> Node:
         owner = np.zeros(len(inside), np.int64)
         centres = [int(node.points[nearest.argmin()])]
         # the farthest point is a new centre until every point is covered
-        while nearest.max() > cover * cover:
+        while nearest.max() > cover * cover and len(centres) < FANOUT:
             far = int(nearest.argmax())
             distance = ((inside - inside[far]) ** 2).sum(1)
             closer = distance < nearest
@@ -64,39 +64,66 @@ def build(data: np.ndarray, points: np.ndarray | None = None) -> Node:
     return root
 
 
+class Flat:
+    """The nodes of a tree as arrays, so that one query group is bounded against many nodes at once."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.below = [root], []
+        for node in self.nodes:
+            self.below.append(np.arange(len(self.nodes), len(self.nodes) + len(node.children)))
+            self.nodes += node.children
+        self.centres = np.array([n.centre for n in self.nodes])
+        self.norms, self.radii = (np.array([getattr(n, a) for n in self.nodes]) for a in ("norm", "radius"))
+        self.sizes = np.array([len(n.points) for n in self.nodes])
+        self.inner = np.array([bool(n.children) for n in self.nodes])
+
+
 def dual_search(queries: np.ndarray, data: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query places, data places and scores of each query's k best; own and rows number the rows, ids break ties (then rows)."""
-    n = len(queries)
     order = np.argsort(np.lexsort((rows, ids)))  # smaller is better among equal scores
-    best, place = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
-    worst = best[:, -1]  # a view: each query's kth score so far
-    slack = 1e-9 * (1 + np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1])
+    best, place = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
+    reach = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1]
+    slack = 1e-9 * (1 + reach)
+    tree = Flat(build(data))
 
-    def bound(q: Node, d: Node) -> float:
-        return float(q.centre @ d.centre) + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius + slack
+    def bounds(q: Node, nodes: np.ndarray) -> np.ndarray:
+        return tree.centres[nodes] @ q.centre + (q.norm + q.radius) * tree.radii[nodes] + q.radius * tree.norms[nodes] + slack
+
+    def worst(q: Node) -> float:
+        return best[q.points, -1].min()
 
     def meet(q: np.ndarray, d: np.ndarray) -> None:
         scores = queries[q] @ data[d].T
         scores[own[q][:, None] == rows[d][None, :]] = -np.inf
-        for i in np.flatnonzero((scores >= worst[q][:, None]).any(1)):
-            query = q[i]
-            able = np.flatnonzero((scores[i] >= worst[query]) & (scores[i] > -np.inf))
-            both, at = np.concatenate([best[query], scores[i][able]]), np.concatenate([place[query], d[able]])
-            top = np.lexsort((np.where(at < 0, len(order), order[at]), -both))[:k]
-            best[query], place[query] = both[top], at[top]
-
-    trees = build(queries), build(data)
-    pairs = [(bound(*trees), *trees)]
-    while pairs:
-        most, q, d = pairs.pop()
-        if most < worst[q.points].min():
-            continue
-        if not q.children and not d.children:
-            meet(q.points, d.points)
-        else:
-            split_q = bool(q.children) and (not d.children or q.radius > d.radius)
-            halves = [(q.children and bound(c, d), c, d) for c in q.children] if split_q else [(bound(q, c), q, c) for c in d.children]
-            pairs += sorted(halves, key=lambda x: x[0])  # the best bound is taken next
+        some = np.flatnonzero((scores >= best[q, -1][:, None]).any(1))
+        both = np.concatenate([best[q[some]], scores[some]], 1)
+        at = np.concatenate([place[q[some]], np.broadcast_to(d, (len(some), len(d)))], 1)
+        ties = np.where(at < 0, len(order), order[at])
+        if reach * 2 * (len(order) + 2) < 2**53:  # score and tie in one number
+            top = np.argpartition(ties - both * (len(order) + 2), min(k, both.shape[1] - 1), axis=1)[:, : k + 1]
+            both, at, ties = (np.take_along_axis(x, top, 1) for x in (both, at, ties))
+        top = np.lexsort((ties, -both), axis=1)[:, :k]
+        best[q[some]], place[q[some]] = np.take_along_axis(both, top, 1), np.take_along_axis(at, top, 1)
+
+    def visit(q: Node, nodes: np.ndarray) -> None:
+        nodes = nodes[bounds(q, nodes) >= worst(q)]
+        if q.children:
+            for child in q.children:
+                visit(child, nodes)
+            return
+        while len(nodes):
+            bound = bounds(q, nodes)
+            nodes = nodes[np.argsort(-bound)][: int((bound >= worst(q)).sum())]  # best first, without the hopeless
+            inner = tree.inner[nodes]
+            if inner.any():
+                nodes = np.concatenate([nodes[~inner], *(tree.below[i] for i in nodes[inner])])
+            elif len(nodes):
+                n = int(np.searchsorted(np.cumsum(tree.sizes[nodes]), CHUNK)) + 1
+                meet(q.points, np.concatenate([tree.nodes[i].points for i in nodes[:n]]))
+                nodes = nodes[n:]
+
+    visit(build(queries), np.zeros(1, np.int64))
+    place[best == -np.inf] = -1
     i, r = np.nonzero(place >= 0)
     return i, place[i, r], best[i, r].astype(np.int64)
 
