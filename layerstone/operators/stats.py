@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def run_stats(log: DataFrame, width: int = 16) -> DataFrame:
-    """run_id, min_key, max_key, min_seq, max_seq, n_rows, n_deletes, file_size (width bytes a row) of every run."""
+def run_stats(log: DataFrame, width: int = 16, timestamp: Column | None = None) -> DataFrame:
+    """run_id, min_key, max_key, min_seq, max_seq, n_rows, n_deletes, file_size (width bytes a row) of every run; min_ts and max_ts of a timestamp drawn from each row, if given."""
+    times = [] if timestamp is None else [F.min(timestamp).alias("min_ts"), F.max(timestamp).alias("max_ts")]
     return log.groupBy("run_id").agg(
         F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
-        F.count("*").alias("n_rows"), F.count(F.when(F.col("op") == 0, 1)).alias("n_deletes"), (F.count("*") * width).alias("file_size"),
+        F.count("*").alias("n_rows"), F.count(F.when(F.col("op") == 0, 1)).alias("n_deletes"), (F.count("*") * width).alias("file_size"), *times,
     )
 
 

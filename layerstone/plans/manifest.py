@@ -17,11 +17,13 @@ from layerstone import schema
 from layerstone.functions.bloom import writer_options
 from layerstone.operators import compact as compaction
 from layerstone.operators.lookup import snapshot
+from layerstone.options import Options
+from layerstone.plans.ordered import numbered
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, key: T.DataType = T.BinaryType(), value: T.DataType = T.BinaryType()):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, key: T.DataType = T.BinaryType(), value: T.DataType = T.BinaryType(), options: Options = Options()):
+        self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self.log_schema = T.StructType([f for f in schema.kv_log(key, value) if f.name not in ("run_id", "level")])
         self.manifest_schema = schema.manifest(key)
 
@@ -63,12 +65,10 @@ class Store:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows = log.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.log_schema])
         dealt = rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")
-        dealt.sortWithinPartitions(F.col("key").asc(), F.col("seq").desc()).write.options(**writer_options("key", 1_000_000)).parquet(folder)
+        dealt.sortWithinPartitions(F.col("key").asc(), F.col("seq").desc()).write.options(**writer_options("key", self.options.bloom_keys), **self.options.writer()).parquet(folder)
         written = self.spark.read.schema(self.log_schema).parquet(folder).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"))
         stats = written.groupBy("path", "file_size").agg(F.count("*").alias("n_rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
         first = (self.manifest().agg(F.max("file_num")).first()[0] or 0) + 1
-        from layerstone.plans.ordered import numbered
-
         return numbered(stats, "path", "file_num", first, n=1).withColumn("level", F.lit(level)).select(*self.manifest_schema.names)
 
     def flush(self, log: DataFrame, files: int | None = None) -> int:
@@ -99,10 +99,10 @@ class Store:
         rows = self.spark.read.schema(self.log_schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.log_schema)
         return snapshot(rows.filter(F.col("key") == F.lit(key)))
 
-    def compact(self, drop, files: int | None = None, **limits) -> int | None:
+    def compact(self, drop, files: int | None = None) -> int | None:
         """Compact what is due into the next level, with the overlapping files there; the new version, or None if nothing is due."""
         manifest = self.manifest().cache()
-        due = manifest.join(compaction.pick(manifest, **limits), ["level", "file_num"]).cache()
+        due = manifest.join(compaction.pick(manifest, self.options.level0_files, self.options.level_base_bytes), ["level", "file_num"]).cache()
         if due.isEmpty():
             return None
         bounds = due.agg(F.min("level").alias("from_level"), F.min("min_key").alias("low"), F.max("max_key").alias("high"))

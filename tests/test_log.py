@@ -149,6 +149,9 @@ def test_statistics(spark):
     log = spark.createDataFrame([("key-1", 100, 1, "a", 0), ("key-2", 200, 1, "b", 0), ("key-3", 50, 0, None, 0)], LOG + ", run_id long")
     r = stats.run_stats(log).first()
     assert (r["min_key"], r["max_key"], r["min_seq"], r["max_seq"], r["n_deletes"]) == ("key-1", "key-3", 50, 200, 1)
+    keyed = spark.createDataFrame([(f"key-{i}", 1, 1, "v", 0, bytearray(f"key-{i}".encode() + ts.to_bytes(8, "big"))) for i, ts in ((1, 100), (2, 200), (3, 50))], LOG + ", run_id long, raw binary")
+    r = stats.run_stats(keyed, timestamp=codec.trailer(F.col("raw"))).first()
+    assert (r["min_ts"], r["max_ts"]) == (50, 200)
 
 
 def test_codecs(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from layerstone.functions import codec
 from layerstone.operators import compact, lookup
+from layerstone.options import Options
 from layerstone.plans.manifest import Store
 from layerstone.sources import framed_log
 from layerstone.streaming import latest, machine
@@ -112,6 +113,13 @@ def test_machine_in_batch_equals_plain_fold(spark):
     assert machine.fold(df.limit(0), step).count() == 0
 
 
+@pytest.mark.parametrize("wrong", [{"page_bytes": 0}, {"level0_files": -1}, {"bloom_keys": "many"}, {"codec": "rar"}, {"page_bytes": 2 << 30}])
+def test_options_are_checked(wrong):
+    assert Options().writer()["compression"] == "zstd"
+    with pytest.raises(ValueError):
+        Options(**wrong)
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([(bytearray(b"abc"),)], "d binary").withColumn("c", codec.checksum(F.col("d")))
     assert df.filter(codec.intact(F.col("d"), F.col("c"))).count() == 1
