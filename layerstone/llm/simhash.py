@@ -19,6 +19,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ SMALL, CAP, TILE = 64, 4096, 1024
 TEXT_BLOCK, HASH_BLOCK = 1 << 20, 1 << 18
 #: Rows that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: One set in so many tells which shingles are common; shingles in at least COMMON of these, COMMONEST of them at most, are tried last.
+SAMPLE, COMMON, COMMONEST = 8, 3, 200_000
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -259,19 +262,109 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return few_files(each.join(of, each["fp"] == of["fp_"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)])).view(np.int64)
+
+
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     """fp, shingles (distinct hashes) from fp, text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for part in batches(whole):
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = [_shingle_set(t, words) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["fp", "shingles"])
 
     return small_batches(rows).select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
 
 
+def _prefixes(rows: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """key (shingle), fp, size, place: the first shingles of every set of fp, text, of which similar sets share one.
+
+    Two sets of at least that Jaccard similarity share ceil(similarity * size) shingles, so of each set
+    all but so many, and one, are enough, in whatever order all sets keep: here common ones (a row of
+    hashes, sorted, above a row of counts) come last, so few sets meet under one shingle.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in batches(whole):
+                keys, sizes, takes = [], [], []
+                for text in part.column(1).to_pylist():
+                    found = _shingle_set(text, words)
+                    take = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+                    if common.shape[1]:
+                        at = np.minimum(np.searchsorted(common[0], found), common.shape[1] - 1)
+                        found = found[np.argsort(np.where(common[0][at] == found, common[1][at], 0), kind="stable")]
+                    keys.append(found[:take])
+                    sizes.append(len(found))
+                    takes.append(len(keys[-1]))
+                fps = np.repeat(part.column(0).to_numpy(), takes)
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in takes])
+                for k in range(0, len(fps), HASH_BLOCK):
+                    cut = slice(k, k + HASH_BLOCK)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (np.concatenate(keys), fps, np.repeat(np.array(sizes, np.int32), takes), places)], names=["key", "fp", "size", "place"])
+
+    return small_batches(rows).select("fp", "text").mapInArrow(run, "key long, fp long, size int, place int")
+
+
+def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes, sorted, and counts of the commonest shingles in a sample of the sets. They settle an order only, no result."""
+    sample = _shingle_sets(rows.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), words)
+    counts = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "key").limit(COMMONEST).toArrow()
+    found = np.stack([top.column(c).to_numpy() for c in ("key", "n")])
+    return found[:, np.argsort(found[0])]
+
+
+def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of fp that can be of that similarity, from key, fp, size, place, root; pairs of one root are left out.
+
+    Members of a key are sorted by size, so each is compared with those up to size / similarity only.
+    A pair counts under a shingle if it leaves both sets enough shingles from there on; that holds
+    under the first shingle a similar pair shares.
+    """
+
+    def solve(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        joined = np.repeat(np.minimum.reduceat(roots, edge[:-1]) == np.maximum.reduceat(roots, edge[:-1]), np.diff(edge))
+        ends, left = np.repeat(edge[1:], np.diff(edge)), sizes - places
+        at, lag = np.flatnonzero(~joined), 1
+        while len(at := at[ends[at] > at + lag]):
+            at = at[similarity * sizes[at + lag] <= sizes[at] + 1e-9]
+            other = at + lag
+            least = similarity / (1 + similarity) * (sizes[at] + sizes[other]) - 1e-9
+            near = (np.minimum(left[at], left[other]) >= least) & (roots[at] != roots[other])
+            if near.any():
+                a, b = fps[at[near]], fps[other[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            lag += 1
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for part in parts:
+            now = [c.to_numpy() for c in part.columns]
+            if not part.num_rows:
+                continue
+            n = int(np.searchsorted(now[0], now[0][-1]))  # the last key goes on in the next batch
+            if n or held and held[-1][0][-1] != now[0][0]:
+                yield from solve(*map(np.concatenate, zip(*held, [c[:n] for c in now])))
+                held = []
+            held.append([c[n:] for c in now])
+        if held:
+            yield from solve(*map(np.concatenate, zip(*held)))
+
+    return small_batches(rows).select("key", "fp", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
+
+
+def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates (a, b) whose shingle sets (fp, shingles) are of at least that Jaccard similarity."""
+    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return candidates.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+
+
 def _small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """rows, marked for broadcast only if they are few; rows are materialized, so counting is cheap."""
     return F.broadcast(rows) if rows.count() <= limit else rows
@@ -280,9 +373,9 @@ def _small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, similarity: float = 0.8) -> DataFrame:
     """The rows of docs less all but one of each group of near duplicates: the one with the smallest doc_id stays.
 
-    Copies share a fingerprint. Fingerprints that differ by at most distance bits are candidates; a
-    candidate link counts if the Jaccard similarity of the two texts' shingle sets is at least
-    similarity. (SimHash finds most but not all pairs near that similarity: see the README.)
+    Two texts are linked if the Jaccard similarity of their shingle sets is at least similarity. Links
+    among fingerprints that differ by at most distance bits are found first; an exact prefix-filter
+    join of the sets then finds all others that these do not connect already, so none is missed.
     """
     names = {n: fresh(docs, f"simhash_{n}") for n in ("row", "fp")}
     row, fp = F.col(names["row"]), F.col(names["fp"])
@@ -299,16 +392,24 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row.alias("row"))
     n = held.count()
     distinct = materialize(held.groupBy(fp.alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct", n)
-    candidates = materialize(links(distinct.select("fp"), distance).distinct(), "candidates", n)
-    ends = candidates.select(F.col("a").alias("end")).unionByName(candidates.select(F.col("b").alias("end"))).distinct()
-    wanted = materialize(distinct.join(ends, distinct["fp"] == ends["end"]).select(F.col("first.row").alias("wanted")), "wanted", n)
-    texts = held.join(_small(wanted), row == F.col("wanted"), "left_semi").select(fp.alias("fp"), F.col("text").cast("string").alias("text"))
-    sets = materialize(_shingle_sets(texts, words), "shingles")
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    verified = candidates.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
-    roots = components(verified, n)
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    texts = held.join(_small(distinct.select(F.col("first.row").alias("wanted"))), row == F.col("wanted"), "left_semi").select(fp.alias("fp"), F.col("text").cast("string").alias("text"))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        ends = candidates.select(F.col("a").alias("end")).unionByName(candidates.select(F.col("b").alias("end"))).distinct()
+        wanted = materialize(distinct.join(ends, distinct["fp"] == ends["end"]).select(F.col("fp").alias("end")), "wanted", n)
+        sets = materialize(_shingle_sets(texts.join(_small(wanted), F.col("fp") == F.col("end"), "left_semi"), words), "shingles")
+        return materialize(_similar(candidates, sets, similarity), "verified", n)
+
+    def rooted(found: DataFrame) -> DataFrame:
+        roots = materialize(components(found, n), "roots", n)
+        return distinct.join(_small(roots), distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+
+    found = verified(materialize(links(distinct.select("fp"), distance).distinct(), "candidates", n))
+    known = materialize(rooted(found).select(F.col("fp").alias("of"), "root"), "known", n)
+    index = _prefixes(texts, words, similarity, _common_shingles(texts, words))
+    index = index.join(_small(known), F.col("fp") == F.col("of"))
+    found = found.unionByName(verified(materialize(_set_links(index, similarity).distinct(), "candidates", n)))
+    known = rooted(found)
     firsts = known.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).filter("members > 1")
     groups = materialize(known.join(firsts, "root").select(F.col("fp").alias("group_fp"), F.col("stays.row").alias("stays")), "groups", n)
     joined = held.join(_small(groups), fp == F.col("group_fp"), "left")

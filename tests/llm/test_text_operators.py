@@ -131,6 +131,26 @@ def test_near_duplicates_go_and_clean_documents_stay(spark):
     assert simhash.without_near_duplicates(documents(spark, AWKWARD)).count() == 4
 
 
+
+def similar_pair(rng, bits):
+    """Two texts of similarity 0.8 to 0.9 whose fingerprints are over so many bits apart."""
+    shingles = lambda t: set(zip(*[t.split()[i:] for i in range(5)]))
+    while True:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts = [" ".join(words), " ".join("changed" if i in (20, 80, 140) else w for i, w in enumerate(words))]
+        a, b = map(shingles, texts)
+        prints = simhash.fingerprint_batch(texts, 5)
+        if (int(prints[0]) ^ int(prints[1])).bit_count() > bits and 0.8 <= len(a & b) / len(a | b) < 0.9:
+            return texts
+
+
+def test_similar_texts_with_distant_fingerprints_go(spark):
+    rng = random.Random(5)
+    pairs = [similar_pair(rng, 7) for _ in range(6)]
+    rows = [(i, t, "en", "a") for i, t in enumerate([p[0] for p in pairs] + [p[1] for p in pairs])]
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, rows)).collect()) == list(range(6))
+
+
 # --- language
 
 
