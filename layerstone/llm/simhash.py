@@ -375,7 +375,8 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least similarity. Links
     among fingerprints that differ by at most distance bits are found first; an exact prefix-filter
-    join of the sets then finds all others that these do not connect already, so none is missed.
+    join of the sets then finds all others that these do not connect already, so none is missed, nor
+    any that the spanning forest of a large variant group leaves out.
     """
     names = {n: fresh(docs, f"simhash_{n}") for n in ("row", "fp")}
     row, fp = F.col(names["row"]), F.col(names["fp"])

@@ -151,6 +151,19 @@ def test_similar_texts_with_distant_fingerprints_go(spark):
     assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, rows)).collect()) == list(range(6))
 
 
+def test_pairs_that_a_forest_of_links_hides_go(spark, monkeypatch):
+    def hidden(fps, distance):
+        return links(fps, distance, small=1).filter(~F.col("a").isin(*lost) | ~F.col("b").isin(*lost))
+
+    links, rng = simhash.links, random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(words), " ".join("changed" if i in (90, 200) else w for i, w in enumerate(words))]
+    lost = simhash.fingerprint_batch(texts, 5).view(np.int64).tolist()
+    monkeypatch.setattr(simhash, "links", hidden)  # as if a third fingerprint had reached both first
+    kept = simhash.without_near_duplicates(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
 # --- language
 
 
