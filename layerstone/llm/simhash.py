@@ -267,20 +267,20 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """fp, shingles (distinct hashes) from fp, text."""
+    """id, shingles (distinct hashes) from id, text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for part in batches(whole):
                 sets = [_shingle_set(t, words) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
-    return small_batches(rows).select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+    return small_batches(rows).select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def _prefixes(rows: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """key (shingle), fp, size, place: the first shingles of every set of fp, text, of which similar sets share one.
+    """key (shingle), id, size, place: the first shingles of every set of id, text, of which similar sets share one.
 
     Two sets of at least that Jaccard similarity share ceil(similarity * size) shingles, so of each set
     all but so many, and one, are enough, in whatever order all sets keep: here common ones (a row of
@@ -300,18 +300,18 @@ def _prefixes(rows: DataFrame, words: int, similarity: float, common: np.ndarray
                     keys.append(found[:take])
                     sizes.append(len(found))
                     takes.append(len(keys[-1]))
-                fps = np.repeat(part.column(0).to_numpy(), takes)
+                ids = np.repeat(part.column(0).to_numpy(), takes)
                 places = np.concatenate([np.arange(n, dtype=np.int32) for n in takes])
-                for k in range(0, len(fps), HASH_BLOCK):
+                for k in range(0, len(ids), HASH_BLOCK):
                     cut = slice(k, k + HASH_BLOCK)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (np.concatenate(keys), fps, np.repeat(np.array(sizes, np.int32), takes), places)], names=["key", "fp", "size", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (np.concatenate(keys), ids, np.repeat(np.array(sizes, np.int32), takes), places)], names=["key", "id", "size", "place"])
 
-    return small_batches(rows).select("fp", "text").mapInArrow(run, "key long, fp long, size int, place int")
+    return small_batches(rows).select("id", "text").mapInArrow(run, "key long, id long, size int, place int")
 
 
 def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
     """Hashes, sorted, and counts of the commonest shingles in a sample of the sets. They settle an order only, no result."""
-    sample = _shingle_sets(rows.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), words)
+    sample = _shingle_sets(rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), words)
     counts = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     top = counts.orderBy(F.desc("n"), "key").limit(COMMONEST).toArrow()
     found = np.stack([top.column(c).to_numpy() for c in ("key", "n")])
@@ -319,14 +319,14 @@ def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of fp that can be of that similarity, from key, fp, size, place, root; pairs of one root are left out.
+    """a, b: pairs of id that can be of that similarity, from key, id, size, place, root; pairs of one root are left out.
 
     Members of a key are sorted by size, so each is compared with those up to size / similarity only.
     A pair counts under a shingle if it leaves both sets enough shingles from there on; that holds
     under the first shingle a similar pair shares.
     """
 
-    def solve(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         joined = np.repeat(np.minimum.reduceat(roots, edge[:-1]) == np.maximum.reduceat(roots, edge[:-1]), np.diff(edge))
         ends, left = np.repeat(edge[1:], np.diff(edge)), sizes - places
@@ -337,7 +337,7 @@ def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
             least = similarity / (1 + similarity) * (sizes[at] + sizes[other]) - 1e-9
             near = (np.minimum(left[at], left[other]) >= least) & (roots[at] != roots[other])
             if near.any():
-                a, b = fps[at[near]], fps[other[near]]
+                a, b = ids[at[near]], ids[other[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
             lag += 1
 
@@ -355,12 +355,12 @@ def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from solve(*map(np.concatenate, zip(*held)))
 
-    return small_batches(rows).select("key", "fp", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
+    return small_batches(rows).select("key", "id", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
 
 
 def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose shingle sets (fp, shingles) are of at least that Jaccard similarity."""
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    """The candidates (a, b) whose shingle sets (id, shingles) are of at least that Jaccard similarity."""
+    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return candidates.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
@@ -374,44 +374,52 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     """The rows of docs less all but one of each group of near duplicates: the one with the smallest doc_id stays.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least similarity. Links
-    among fingerprints that differ by at most distance bits are found first; an exact prefix-filter
+    among fingerprints that differ by at most distance bits are found first, each standing for one set
+    that has it, as equal fingerprints do not mean copies; an exact prefix-filter
     join of the sets then finds all others that these do not connect already, so none is missed, nor
-    any that the spanning forest of a large variant group leaves out.
+    any that the spanning forest of a large variant group leaves out. Only equal sets collapse unseen.
     """
-    names = {n: fresh(docs, f"simhash_{n}") for n in ("row", "fp")}
-    row, fp = F.col(names["row"]), F.col(names["fp"])
+    names = {n: fresh(docs, f"simhash_{n}") for n in ("row", "fp", "set")}
+    row, fp, own = (F.col(names[c]) for c in ("row", "fp", "set"))
     columns, text = docs.columns, docs.columns.index("text")
-    fields = T.StructType([*docs.schema.fields, T.StructField(names["fp"], T.LongType())])
+    fields = T.StructType([*docs.schema.fields, T.StructField(names["fp"], T.LongType()), T.StructField(names["set"], T.LongType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
         for whole in parts:
             for part in batches(whole, column=text):
-                hashes = pa.array(fingerprint_batch(part.column(text).to_pylist(), words).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, hashes], names=fields.names)
+                texts = part.column(text).to_pylist()
+                sets = np.array([digest(_shingle_set(t, words).tobytes()) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.view(np.int64)) for x in (fingerprint_batch(texts, words), sets))], names=fields.names)
 
     held = materialize(small_batches(docs).select(*columns).mapInArrow(run, fields).withColumn(names["row"], F.monotonically_increasing_id()), "fingerprinted")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row.alias("row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row.alias("row"), fp.alias("fp"))
     n = held.count()
-    distinct = materialize(held.groupBy(fp.alias("fp")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct", n)
-    texts = held.join(_small(distinct.select(F.col("first.row").alias("wanted"))), row == F.col("wanted"), "left_semi").select(fp.alias("fp"), F.col("text").cast("string").alias("text"))
+    distinct = materialize(held.groupBy(own.alias("id")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct", n)
+    texts = held.join(_small(distinct.select(F.col("first.row").alias("wanted"))), row == F.col("wanted"), "left_semi").select(own.alias("id"), F.col("text").cast("string").alias("text"))
+
+    prints = materialize(distinct.groupBy("first.fp").agg(F.min("id").alias("id")), "prints", n)
 
     def verified(candidates: DataFrame) -> DataFrame:
         ends = candidates.select(F.col("a").alias("end")).unionByName(candidates.select(F.col("b").alias("end"))).distinct()
-        wanted = materialize(distinct.join(ends, distinct["fp"] == ends["end"]).select(F.col("fp").alias("end")), "wanted", n)
-        sets = materialize(_shingle_sets(texts.join(_small(wanted), F.col("fp") == F.col("end"), "left_semi"), words), "shingles")
+        wanted = materialize(distinct.join(ends, distinct["id"] == ends["end"]).select("end"), "wanted", n)
+        sets = materialize(_shingle_sets(texts.join(_small(wanted), F.col("id") == F.col("end"), "left_semi"), words), "shingles")
         return materialize(_similar(candidates, sets, similarity), "verified", n)
 
     def rooted(found: DataFrame) -> DataFrame:
         roots = materialize(components(found, n), "roots", n)
-        return distinct.join(_small(roots), distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+        return distinct.join(_small(roots), distinct["id"] == roots["node"], "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
 
-    found = verified(materialize(links(distinct.select("fp"), distance).distinct(), "candidates", n))
-    known = materialize(rooted(found).select(F.col("fp").alias("of"), "root"), "known", n)
+    one, other = (prints.select(F.col("fp").alias(f"{c}_fp"), F.col("id").alias(c)) for c in ("a", "b"))
+    near = links(prints.select("fp"), distance).distinct().select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
+    found = verified(materialize(near.join(one, "a_fp").join(other, "b_fp").select("a", "b"), "candidates", n))
+    known = materialize(rooted(found).select(F.col("id").alias("of"), "root"), "known", n)
     index = _prefixes(texts, words, similarity, _common_shingles(texts, words))
-    index = index.join(_small(known), F.col("fp") == F.col("of"))
+    index = index.join(_small(known), F.col("id") == F.col("of"))
     found = found.unionByName(verified(materialize(_set_links(index, similarity).distinct(), "candidates", n)))
     known = rooted(found)
     firsts = known.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).filter("members > 1")
-    groups = materialize(known.join(firsts, "root").select(F.col("fp").alias("group_fp"), F.col("stays.row").alias("stays")), "groups", n)
-    joined = held.join(_small(groups), fp == F.col("group_fp"), "left")
+    groups = materialize(known.join(firsts, "root").select(F.col("id").alias("group"), F.col("stays.row").alias("stays")), "groups", n)
+    joined = held.join(_small(groups), own == F.col("group"), "left")
     return few_files(joined.filter(F.col("stays").isNull() | (F.col("stays") == row)).select(*columns))

@@ -164,6 +164,15 @@ def test_pairs_that_a_forest_of_links_hides_go(spark, monkeypatch):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_different_texts_of_one_fingerprint_stay(spark):
+    rng = random.Random(7)
+    table = "0 " * 400
+    texts = [table + " ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(3)]
+    assert len(set(simhash.fingerprint_batch(texts, 5).tolist())) == 1
+    rows = [(i, t, "en", "a") for i, t in enumerate([*texts, texts[1], texts[2] + " more"])]
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(documents(spark, rows)).collect()) == [0, 1, 2]
+
+
 # --- language
 
 
