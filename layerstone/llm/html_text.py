@@ -18,8 +18,8 @@ is white space.
 Defined results: null and empty html give an empty text; a null or relative url belongs to the host
 ''; a page all of whose blocks are template (copies of one page) keeps them; repeated rows give
 repeated results and each counts; an empty table gives no rows; extra columns are ignored. Elements
-nested deeper than DEPTH are read as if they stood at that depth. Child lists of which too many
-pairs would have to be compared (over CELLS) are aligned by label in order.
+may be nested to any depth. Child lists of which too many pairs would have to be compared (over
+CELLS) are aligned by label in order.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from layerstone.llm.common import batches, materialize, small_batches
 
 #: A slot is template if at least CONSTANT of at least PAGES aligned pages show the same text in it.
 CONSTANT, PAGES = 0.9, 10
-DEPTH, CELLS, MEMO = 150, 250_000, 200_000
+CELLS, MEMO = 250_000, 200_000
 BROADCAST_BYTES = 16 << 20
 
 # Elements, and words of class and id, by what they are for.
@@ -100,16 +100,18 @@ def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, bool
 def parse(page: str) -> Node:
     """The tree of a page. Never fails: what is not closed ends where it must, what was never open is passed over."""
     root = Node("#", "#")
-    stack: list[tuple[str, Node | None]] = [("#", root)]
+    stack: list[tuple[str, Node | None, Node]] = [("#", root, root)]  # tag, its node if it has one, the node that takes text
+    opened: Counter[str] = Counter()
     now, articles, links, at, n = root, 0, 0, 0, len(page)
 
     def pop_to(i: int) -> None:
         nonlocal now, articles, links
-        for tag, _ in stack[i:]:
+        for tag, _, _ in stack[i:]:
+            opened[tag] -= 1
             articles -= tag in ("article", "main")
             links -= tag == "a"
         del stack[i:]
-        now = next(node for _, node in reversed(stack) if node is not None)
+        now = stack[-1][2]
 
     def text(raw: str) -> None:
         if raw:
@@ -127,7 +129,7 @@ def parse(page: str) -> Node:
         at = m.end()
         if m["end"]:
             tag = m["end"].lower()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
@@ -150,14 +152,14 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     pop_to(i)
                     break
                 if stack[i][1] is not None and not stack[i][1].inline:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(opened[e] for e in ENDS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ENDS[tag]:
                     pop_to(i)
@@ -177,12 +179,8 @@ def parse(page: str) -> Node:
             now.children.append(node)
         if raw.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        if len(stack) >= DEPTH:
-            # too deep: what follows stays with the element that is open; the new one keeps no text
-            if node is not None:
-                node.tag = "deep"
-            continue
-        stack.append((tag, node))
+        stack.append((tag, node, node or now))
+        opened[tag] += 1
         articles += tag in ("article", "main")
         links += tag == "a"
         if node is not None:
@@ -218,35 +216,47 @@ class Shapes:
         self.scores: dict[tuple[int, int], int] = {}
 
     def number(self, node: Node) -> int:
-        key = (node.label, *[self.number(c) for c in node.children])
-        if key not in self.numbers:
-            self.numbers[key] = n = len(self.numbers) + 1
-            self.trees[n], self.sizes[n] = key, 1 + sum(self.sizes[c] for c in key[1:])
-        node.shape = self.numbers[key]
+        for each in reversed(list(_nodes(node))):  # children before parents
+            key = (each.label, *[c.shape for c in each.children])
+            if key not in self.numbers:
+                self.numbers[key] = n = len(self.numbers) + 1
+                self.trees[n], self.sizes[n] = key, 1 + sum(self.sizes[c] for c in key[1:])
+            each.shape = self.numbers[key]
         return node.shape
 
-    def score(self, a: int, b: int) -> int:
-        """Simple tree matching: the most nodes that can be matched with order and parents kept."""
+    def known(self, a: int, b: int) -> int | None:
         if a == b:
             return self.sizes[a]
-        x, y = self.trees[a], self.trees[b]
-        if x[0] != y[0]:
-            return 0
-        if (a, b) not in self.scores:
-            self.scores[a, b] = 1 + sum(self.score(x[1 + i], y[1 + j]) for i, j in self.pairs(x[1:], y[1:]))
-        return self.scores[a, b]
+        return 0 if self.trees[a][0] != self.trees[b][0] else self.scores.get((a, b))
 
-    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
-        """The best order-keeping matching of two lists of children. Equal subtrees at either end always match in some best one."""
+    def score(self, a: int, b: int) -> int:
+        """Simple tree matching: the most nodes that can be matched with order and parents kept."""
+        got, todo = self.known(a, b), [(a, b)]
+        while got is None and todo:
+            x, y = (self.trees[t][1:] for t in todo[-1])
+            low, n, m = self.unlike(x, y)
+            cells = ((i, j) for i in x[low : low + n] for j in y[low : low + m]) if n * m <= CELLS else ((x[i], y[j]) for i, j in self.pairs(x, y))
+            if first := [c for c in cells if self.known(*c) is None]:
+                todo += first
+            else:
+                self.scores[todo.pop()] = 1 + sum(self.known(x[i], y[j]) for i, j in self.pairs(x, y))
+        return self.known(a, b) if got is None else got
+
+    def unlike(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int, int]:
+        """Where two lists of children begin to differ, and how many of each do. Equal subtrees at either end always match in some best matching."""
         low = 0
         while low < len(xs) and low < len(ys) and xs[low] == ys[low]:
             low += 1
         high = 0
         while high < min(len(xs), len(ys)) - low and xs[-1 - high] == ys[-1 - high]:
             high += 1
-        n, m = len(xs) - low - high, len(ys) - low - high
+        return low, len(xs) - low - high, len(ys) - low - high
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The best order-keeping matching of two lists of children."""
+        low, n, m = self.unlike(xs, ys)
         middle = self.programme(xs[low : low + n], ys[low : low + m]) if n and m else []
-        return [*((i, i) for i in range(low)), *((low + i, low + j) for i, j in middle), *((len(xs) - k, len(ys) - k) for k in range(high, 0, -1))]
+        return [*((i, i) for i in range(low)), *((low + i, low + j) for i, j in middle), *((len(xs) - k, len(ys) - k) for k in range(len(xs) - low - n, 0, -1))]
 
     def programme(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
         if len(xs) * len(ys) > CELLS:
@@ -329,7 +339,14 @@ def _digest(texts: list[str]) -> int:
 
 def _length(node: Node, junk: bool = False) -> int:
     """Characters of text in a node; junk: whether those of what is no article count too."""
-    return 0 if node.junk and not junk else sum(len(i) if isinstance(i, str) else _length(i, junk) for i in node.items)
+    total, rest = 0, [node]
+    while rest:
+        item = rest.pop()
+        if isinstance(item, str):
+            total += len(item)
+        elif junk or not item.junk:
+            rest.extend(item.items)
+    return total
 
 
 def _roots(tree: Node) -> tuple[list[Node], bool]:
@@ -355,7 +372,8 @@ def main_text(tree: Node, template: dict[int, int]) -> str:
     kept: list[str] = []
     every: list[str] = []
 
-    def visit(node: Node, headings_only: bool) -> None:
+    def visit(node: Node, headings_only: bool) -> Iterator[tuple[Node, bool]]:
+        """Takes the node's blocks, and yields its nodes where they are to be visited."""
         if node.junk:
             return
         headings_only = (headings_only or node.headings_only) and node.tag not in HEADINGS
@@ -372,13 +390,18 @@ def main_text(tree: Node, template: dict[int, int]) -> str:
         add(next(own))
         for item in node.items:
             if not isinstance(item, str) and not item.inline:
-                visit(item, headings_only)
+                yield item, headings_only
                 add(next(own))
             elif not isinstance(item, str) and not item.junk:
-                visit(item, headings_only)
+                yield item, headings_only
 
     for root in roots:
-        visit(root, False)
+        walk = [visit(root, False)]
+        while walk:
+            if (inner := next(walk[-1], None)) is None:
+                walk.pop()
+            else:
+                walk.append(visit(*inner))
     return "\n".join(kept or every)
 
 

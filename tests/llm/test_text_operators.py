@@ -325,6 +325,16 @@ def test_page_parts(html, text):
     assert html_text.main_text(html_text.parse(html), {}) == text
 
 
+@pytest.mark.parametrize("n", [100, 200, 3000])
+def test_deep_pages_are_read_whole(n):
+    read = lambda page: html_text.main_text(html_text.parse(page), {})
+    deep = "<div>" * n + "<p>inner</p><ul class=menu><li>Menu</ul>" + "</div>" * n
+    assert read(f"<body><article><div>{deep}<p>after</p></div><p>last</p></article><p>outside</p></body>") == "inner\nafter\nlast"
+    assert read(f"<article><div>{'<font>' * n}one<div>two</div></div><p>three</p></article>") == "one\ntwo\nthree"
+    shapes, a, b = html_text.Shapes(), html_text.parse(deep), html_text.parse(deep.replace("inner", "<b>x</b>").replace("<ul", "<hr><ul"))
+    assert shapes.score(shapes.number(a), shapes.number(b)) == n + 4
+
+
 def test_article_text_equals_plain_reading(spark, data):
     import html
 
