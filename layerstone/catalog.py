@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from layerstone.plans.manifest import Store
 from layerstone.schema import UPDATE_TYPES
 from layerstone.sources import framed_log
 from layerstone.sources import tables as src
+from layerstone.storage import fresh_folder
 from layerstone.streaming import latest, machine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +28,7 @@ DOCS = "SELECT source AS key, doc_id + 1 AS seq, CASE WHEN lang = 'fr' THEN 0 EL
 RUNS = f"SELECT *, (seq - 1) // 500 AS run_id FROM ({LOG})"
 OVERLAP = f"{RUNS} UNION ALL SELECT key, seq, op, value, run_id + 1000 FROM ({RUNS}) WHERE seq % 3 = 0"
 STONES = "SELECT * FROM (VALUES (10, 20, 9950), (15, 40, 9900), (149, 200, 9999999)) AS t(s, e, q)"
+HIDDEN = f"SELECT * FROM ({LOG}) l WHERE NOT EXISTS (SELECT 1 FROM ({STONES}) t WHERE l.key >= t.s AND l.key < t.e AND t.q > l.seq)"
 CUSTOMERS = "SELECT c_name AS key, c_custkey, c_acctbal FROM customer"
 FILES = f"""SELECT run_id AS file_num, CAST(CASE WHEN run_id % 5 = 0 THEN 0 ELSE 1 + run_id % 3 END AS INTEGER) AS level, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq,
 count(*) AS n_rows, CAST(count(*) * 16 * CASE WHEN run_id % 4 = 1 THEN 20000 ELSE 1 END AS BIGINT) AS file_size FROM ({RUNS}) GROUP BY run_id"""
@@ -63,8 +63,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='layerstone-')}/layerstone-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "store")
 
 
 # --- snapshots and gets
@@ -135,6 +134,20 @@ def forward_scan(spark, d):
     return ordered.numbered(lookup.snapshot(src.event_log(spark, d)), "key", "place")
 
 
+@query(f"SELECT key, seq, CAST(op AS TINYINT) AS op, value, row_number() OVER (ORDER BY key, seq DESC) AS place FROM ({LOG})")
+def version_scan(spark, d):
+    """Every version in key order, newest first within a key."""
+    return lookup.ordered_versions(src.event_log(spark, d))
+
+
+@query(f"SELECT key, seq, row_number() OVER (ORDER BY key, seq DESC) AS place FROM (SELECT CAST(key AS VARCHAR) AS key, seq FROM ({LOG}))")
+def newest_first_keys(spark, d):
+    """The same order by one packed binary key: decimal keys end before any digit sorts."""
+    log = src.event_log(spark, d).select(F.col("key").cast("string").alias("key"), "seq")
+    packed = log.withColumn("packed", codec.newest_first_key(F.concat("key", F.lit("\0")), F.col("seq")))
+    return ordered.numbered(packed, "packed", "place").drop("packed")
+
+
 @query(f"SELECT count(*) AS live_keys FROM ({snapshot_sql(LOG)})")
 def scan_count(spark, d):
     return lookup.snapshot(src.event_log(spark, d)).agg(F.count("*").alias("live_keys"))
@@ -151,12 +164,16 @@ for _how, _test, _order in (("ge", ">=", "ASC"), ("gt", ">", "ASC"), ("le", "<="
         return lookup.seek(_customers(spark, d), "key", "Customer#000000100", how).select("key", "c_acctbal")
 
     def _batched(spark, d, how=_how):
-        c = _customers(spark, d)
-        return ordered.seek(c.filter("c_custkey % 5 = 0").select("key"), c.filter("c_custkey % 7 = 0").select("key"), how)
+        """Every customer's balance is looked for among all suppliers' balances."""
+        return ordered.seek(src.table(spark, d, "customer").select("c_acctbal"), src.table(spark, d, "supplier").select("s_acctbal"), how)
+
+    def _merged(spark, d, how=_how):
+        return lookup.seek_live(merge.merge([src.overlapping_runs(spark, d)]), 75, how, src.range_deletes(spark))
 
-    QUERIES[f"seek_{_how}"], QUERIES[f"batched_seek_{_how}"] = _seek, _batched
+    QUERIES[f"seek_{_how}"], QUERIES[f"batched_seek_{_how}"], QUERIES[f"merged_seek_{_how}"] = _seek, _batched, _merged
     ORACLE_SQL[f"seek_{_how}"] = f"SELECT key, c_acctbal FROM ({CUSTOMERS}) WHERE key {_test} 'Customer#000000100' ORDER BY key {_order} LIMIT 1"
-    ORACLE_SQL[f"batched_seek_{_how}"] = f"SELECT p.key AS probe, (SELECT {'min' if _order == 'ASC' else 'max'}(t.key) FROM ({CUSTOMERS}) t WHERE t.c_custkey % 7 = 0 AND t.key {_test} p.key) AS found FROM ({CUSTOMERS}) p WHERE p.c_custkey % 5 = 0"
+    ORACLE_SQL[f"batched_seek_{_how}"] = f"SELECT c_acctbal AS probe, (SELECT {'min' if _order == 'ASC' else 'max'}(s_acctbal) FROM supplier WHERE s_acctbal {_test} c_acctbal) AS found FROM customer"
+    ORACLE_SQL[f"merged_seek_{_how}"] = f"SELECT * FROM ({snapshot_sql(HIDDEN)}) WHERE key {_test} 75 ORDER BY key {_order} LIMIT 1"
 
 
 @query(f"SELECT key, c_acctbal FROM ({CUSTOMERS}) ORDER BY key LIMIT 1")
@@ -206,7 +223,7 @@ def sequence_allocation(spark, d):
 # --- range deletes
 
 
-@query(snapshot_sql(f"SELECT * FROM ({LOG}) l WHERE NOT EXISTS (SELECT 1 FROM ({STONES}) t WHERE l.key >= t.s AND l.key < t.e AND t.q > l.seq)"))
+@query(snapshot_sql(HIDDEN))
 def range_tombstone_apply(spark, d):
     return lookup.snapshot(range_delete.apply(src.event_log(spark, d), src.range_deletes(spark)))
 
@@ -217,13 +234,21 @@ def range_tombstone_apply_many(spark, d):
     return lookup.snapshot(range_delete.apply(src.event_log(spark, d), src.range_deletes(spark), broadcast=0))
 
 
-@query(f"""WITH stones AS ({STONES}), cuts AS (SELECT s AS a FROM stones UNION SELECT e FROM stones), pieces AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM cuts),
+COVERAGE = f"""WITH stones AS ({STONES}), cuts AS (SELECT s AS a FROM stones UNION SELECT e FROM stones), pieces AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM cuts),
 segs AS (SELECT a, b, max(q) AS q FROM pieces JOIN stones ON s <= a AND e >= b GROUP BY a, b)
-SELECT CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", CAST(q AS BIGINT) AS seq, count(l.key) AS versions, count(DISTINCT l.key) AS keys FROM segs LEFT JOIN ({LOG}) l ON l.key >= a AND l.key < b AND l.seq < q GROUP BY a, b, q""")
+SELECT CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", CAST(q AS BIGINT) AS seq, count(l.key) AS versions, count(DISTINCT l.key) AS keys FROM segs LEFT JOIN ({LOG}) l ON l.key >= a AND l.key < b AND l.seq < q GROUP BY a, b, q"""
+
+
+@query(COVERAGE)
 def range_tombstone_coverage(spark, d):
     return range_delete.coverage(src.event_log(spark, d), src.range_deletes(spark))
 
 
+@query(COVERAGE)
+def range_tombstone_coverage_many(spark, d):
+    return range_delete.coverage(src.event_log(spark, d), src.range_deletes(spark), broadcast=0)
+
+
 # --- statistics, pruning, manifest
 
 
@@ -275,10 +300,13 @@ def pick_compaction_size(spark, d):
 
 @query(f"SELECT level, file_num, min_key, max_key, min_seq, max_seq FROM ({FILES}) WHERE NOT (level = 0) UNION ALL SELECT 1 AS level, file_num + 100000 AS file_num, min_key, max_key, min_seq, max_seq FROM ({FILES}) WHERE level = 0")
 def version_edit_apply(spark, d):
-    files = _files(spark, d).select("level", "file_num", "min_key", "max_key", "min_seq", "max_seq")
-    gone = files.filter("level = 0")
-    added = gone.withColumn("level", F.lit(1)).withColumn("file_num", F.col("file_num") + 100000)
-    return files.join(gone.select("level", "file_num"), ["level", "file_num"], "left_anti").unionByName(added)
+    """A version of all files, then an edit of it: level 0 out, the same files in at level 1."""
+    store = Store(spark, _folder(spark), T.LongType(), T.DoubleType())
+    files = _files(spark, d).withColumns({"kind": F.lit("rows"), "path": F.col("file_num").cast("string")})
+    store.commit(files)
+    gone = store.manifest().filter("level = 0")
+    store.commit(gone.withColumns({"level": F.lit(1), "file_num": F.col("file_num") + 100000}), gone)
+    return store.manifest().select("level", "file_num", "min_key", "max_key", "min_seq", "max_seq")
 
 
 @query(snapshot_sql(LOG))
@@ -308,6 +336,50 @@ def store_compact(spark, d):
     return lookup.snapshot(store.read())
 
 
+def _store_with_ranges(spark: SparkSession, d: str) -> Store:
+    store = Store(spark, _folder(spark), T.LongType(), T.DoubleType())
+    log = src.event_log(spark, d)
+    for k in range(4):
+        store.flush(log.filter(F.col("seq") % 4 == k), files=2)
+    store.delete_ranges(src.range_deletes(spark))
+    return store
+
+
+@query(snapshot_sql(HIDDEN))
+def store_range_delete(spark, d):
+    """Flushes and range deletes, read back through the manifest."""
+    return _store_with_ranges(spark, d).live()
+
+
+@query(snapshot_sql(HIDDEN))
+def store_range_delete_compact(spark, d):
+    store = _store_with_ranges(spark, d)
+    store.compact(compact.keep_newest_or_since(9950), files=2)
+    store.vacuum()
+    store.close()
+    return store.live()
+
+
+@query("SELECT CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", CAST(q AS BIGINT) AS seq FROM (" + STONES + ")")
+def store_range_scan(spark, d):
+    return _store_with_ranges(spark, d).ranges()
+
+
+@query(f"SELECT * FROM ({snapshot_sql(HIDDEN)}) WHERE key >= 75 ORDER BY key LIMIT 1")
+def store_seek(spark, d):
+    return _store_with_ranges(spark, d).seek(75, "ge")
+
+
+@query(snapshot_sql(LOG, "seq <= 5000"))
+def store_pinned_version(spark, d):
+    """A version that was pinned before a later flush stays as it was."""
+    store = Store(spark, _folder(spark), T.LongType(), T.DoubleType())
+    log = src.event_log(spark, d)
+    pinned = store.flush(log.filter("seq <= 5000"), files=2)
+    store.flush(log.filter("seq > 5000"), files=2)
+    return store.live(pinned)
+
+
 # --- compaction
 
 
@@ -354,12 +426,55 @@ def internal_key_codec(spark, d):
     return packed.select(F.hex("k").alias("internal_key"), F.decode(codec.user_key(F.col("k")), "utf-8").cast("bigint").alias("key"), codec.seq_of(F.col("k")).alias("seq"), codec.op_of(F.col("k")).alias("op"))
 
 
-@query()
+@query("SELECT event_id FROM events WHERE event_id % 7 = 0")
 def crc_filter(spark, d):
     """Rows whose stored checksum no longer fits: every seventh record is damaged."""
     u = src.updates(spark, d).withColumn("crc", codec.checksum(F.col("data")))
     read = u.withColumn("data", F.when(F.col("event_id") % 7 == 0, F.concat("data", F.lit("x").cast("binary"))).otherwise(F.col("data")))
-    return read.filter(~codec.intact(F.col("data"), F.col("crc"))).select("event_id", "crc")
+    return read.filter(~codec.intact(F.col("data"), F.col("crc"))).select("event_id")
+
+
+@query(f"SELECT key, seq, CAST(op AS TINYINT) AS op FROM ({LOG})")
+def framed_log_files(spark, d):
+    """Write the log to files of frames beside other files, read those that are named as logs by the engine's own data source."""
+    folder = _folder(spark)
+    log = src.event_log(spark, d).select("seq", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    framed_log.write_files(log, folder)
+    log.limit(0).write.mode("append").json(folder)
+    spark.dataSource.register(framed_log.FramedLogSource)
+    back = spark.read.format("framed_log").option("path", folder).load().filter("rejected is null")
+    return back.select(F.decode("key", "utf-8").cast("bigint").alias("key"), "seq", "op")
+
+
+@query("SELECT event_id, epoch_us(ts) * 1000 AS ts_ns FROM events")
+def key_timestamps(spark, d):
+    """The timestamp that is packed into the last eight bytes of a key."""
+    u = src.updates(spark, d).select("event_id", codec.internal_key(F.col("machine").cast("string"), F.shiftright("registered_ns", 8), F.lit(0)).alias("k"), "registered_ns")
+    low = F.col("registered_ns").bitwiseAND(F.lit(255).cast("bigint"))
+    return u.select("event_id", codec.trailer(F.col("k")).bitwiseOR(low).alias("ts_ns"))
+
+
+@query(f"SELECT key, CAST(length(key) - length(ltrim_common) AS INTEGER) AS shared FROM (SELECT key, substr(key, 1 + CAST(list_max([CASE WHEN left(key, i) = left(prev, i) THEN i ELSE 0 END FOR i IN range(0, length(key) + 1)]) AS BIGINT)) AS ltrim_common FROM (SELECT key, lag(key) OVER (ORDER BY key) AS prev FROM ({CUSTOMERS})) WHERE prev IS NOT NULL)")
+def prefix_lengths(spark, d):
+    """How many leading characters each key shares with the one before it."""
+    rows = ordered.neighbours(_customers(spark, d).select("key"), "key", "prev").filter("prev is not null")
+    return rows.select("key", codec.prefix_shared(F.col("key"), F.col("prev")).alias("shared"))
+
+
+@query("SELECT count(*) AS keys, count(*) AS hashes FROM customer")
+def key_hashes(spark, d):
+    """64-bit hashes tell all keys apart."""
+    return _customers(spark, d).agg(F.count("*").alias("keys"), F.count_distinct(codec.hashed(F.col("key"))).alias("hashes"))
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def key_rotation(spark, d):
+    """A data key a market segment, wrapped under one master key, then under another; values sealed before open after."""
+    old, new = (F.lit(x * 32).cast("binary") for x in ("a", "b"))
+    rows = src.table(spark, d, "customer").withColumn("k", codec.file_key(old, F.col("c_mktsegment")))
+    sealed = rows.select("c_custkey", codec.wrap_key(F.col("k"), old).alias("wrapped"), codec.encrypt(F.col("c_name").cast("binary"), F.col("k")).alias("sealed"))
+    turned = sealed.withColumn("wrapped", codec.rewrap_key(F.col("wrapped"), old, new))
+    return turned.select("c_custkey", F.decode(codec.decrypt(F.col("sealed"), codec.unwrap_key(F.col("wrapped"), new)), "utf-8").alias("c_name"))
 
 
 @query("SELECT c_custkey, c_name FROM customer")
@@ -412,10 +527,31 @@ def fsm_run(spark, d):
     return _states(machine.fold(src.updates(spark, d), machine.counting))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, transform, order: str) -> DataFrame:
-    """Stream the first half of rows through transform, then the second after a restart from the checkpoint; all that was emitted, by batch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder = _folder(spark)
+@query("SELECT machine, registered_ns, step FROM (SELECT user_id AS machine, epoch_us(ts) * 1000 AS registered_ns, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) WHERE event_id % 13 = 5")
+def fsm_emitted(spark, d):
+    """What the machine's steps emit: an alert an error."""
+    return _alerts(machine.emitted(src.updates(spark, d), machine.counting))
+
+
+def _alerts(frame: DataFrame) -> DataFrame:
+    return frame.select("machine", "registered_ns", F.from_json("emitted", "alert string, step long")["step"].alias("step"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, transform, order: str, folder: str | None = None) -> DataFrame:
+    """Stream the first half of rows through transform, then the second after a restart from the checkpoint; all that was emitted, by batch.
+
+    Stateful streams need the RocksDB state store; the session's own setting is put back after.
+    """
+    folder, name = folder or _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _two_starts(spark, rows, transform, order, folder)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _two_starts(spark: SparkSession, rows: DataFrame, transform, order: str, folder: str) -> DataFrame:
     middle = rows.agg(F.percentile_approx(order, 0.5)).first()[0] or 0
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -434,13 +570,47 @@ def stream_latest_value(spark, d):
     return lookup.snapshot(out)
 
 
+@query(snapshot_sql(DOCS))
+def stream_latest_text(spark, d):
+    """The same on string keys and integer values."""
+    return lookup.snapshot(_streamed(spark, src.document_log(spark, d), latest.latest_values, "seq"))
+
+
+def _machine_stream(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    return _streamed(spark, src.updates(spark, d).drop("data"), lambda s: machine.run_stream(s, machine.counting), "event_id", folder)
+
+
 @query(FOLD)
 def stream_machine(spark, d):
-    out = _streamed(spark, src.updates(spark, d).drop("data"), lambda s: machine.run_stream(s, machine.counting), "event_id")
-    newest = out.groupBy("machine").agg(F.max_by("state", "batch").alias("state"))
+    newest = _machine_stream(spark, d).filter(F.col("kind") == machine.STATE).groupBy("machine").agg(F.max_by("body", "batch").alias("state"))
     return _states(newest)
 
 
+@query(ORACLE_SQL["fsm_emitted"])
+def stream_emitted(spark, d):
+    out = _machine_stream(spark, d).filter(F.col("kind") == machine.EMITTED)
+    return _alerts(out.select("machine", "registered_ns", F.col("body").alias("emitted")))
+
+
+@query(FOLD)
+def fsm_snapshot(spark, d):
+    """The machines' states as the stopped stream's checkpoint holds them."""
+    folder = _folder(spark)
+    _machine_stream(spark, d, folder)
+    return _states(machine.snapshot(spark, f"{folder}/checkpoint"))
+
+
+@query(snapshot_sql(LOG))
+def stream_to_store(spark, d):
+    """Micro-batches become versions of a store; a second start adds nothing."""
+    folder, log = _folder(spark), src.event_log(spark, d)
+    store = Store(spark, f"{folder}/store", T.LongType(), T.DoubleType())
+    log.repartition(2).write.parquet(f"{folder}/in")
+    for _ in range(2):
+        latest.to_store(latest.source(spark.readStream, log.schema, f"{folder}/in", 1), store, f"{folder}/checkpoint").awaitTermination()
+    return store.live()
+
+
 @query(f"SELECT key, seq, CAST(op AS TINYINT) AS op, value FROM ({LOG})")
 def stream_ingest(spark, d):
     """Ingest a stream into a log; a second start from the checkpoint adds nothing."""

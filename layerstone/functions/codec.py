@@ -64,6 +64,26 @@ def decrypt(value: Column, key: Column, context: Column | None = None) -> Column
     return F.aes_decrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), *([] if context is None else [context]))
 
 
+def file_key(master: Column, name: Column) -> Column:
+    """The data key of a file: 32 bytes drawn from the master key and the file's name, so none needs to be kept in the clear."""
+    return F.unhex(F.sha2(F.concat(master, name.cast("binary")), 256))
+
+
+def wrap_key(data_key: Column, master: Column) -> Column:
+    """A data key sealed under a master key; what is stored beside the data."""
+    return F.aes_encrypt(data_key, master, F.lit("GCM"))
+
+
+def unwrap_key(wrapped: Column, master: Column) -> Column:
+    """Fails on a wrong master key."""
+    return F.aes_decrypt(wrapped, master, F.lit("GCM"))
+
+
+def rewrap_key(wrapped: Column, old: Column, new: Column) -> Column:
+    """Rotation: the same data key under a new master key; sealed data stay as they are."""
+    return wrap_key(unwrap_key(wrapped, old), new)
+
+
 def hashed(data: Column) -> Column:
     """64-bit hash for partitioning and sketches."""
     return F.xxhash64(data)

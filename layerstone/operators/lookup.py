@@ -9,10 +9,13 @@ from layerstone.schema import PUT
 
 
 def latest(log: DataFrame, *keep: str) -> DataFrame:
-    """The newest version of every key, deletes included. Partial aggregation keeps one row a key and task before the shuffle."""
+    """The newest version of every key, deletes included. Partial aggregation keeps one row a key and task before the shuffle.
+
+    Each column is its own aggregate, so that numbers are aggregated by hash; strings and binary values
+    have no place in a hash table's rows, and their tasks sort by key first.
+    """
     columns = keep or ("op", "value")
-    newest = F.max_by(F.struct("seq", *columns), F.col("seq")).alias("newest")
-    return log.groupBy("key").agg(newest).select("key", "newest.*")
+    return log.groupBy("key").agg(F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in columns])
 
 
 def snapshot(log: DataFrame, at: int | None = None) -> DataFrame:
@@ -65,6 +68,22 @@ def seek(rows: DataFrame, key: str, target, how: str) -> DataFrame:
     return rows.filter(test).orderBy(c if how in ("ge", "gt") else c.desc()).limit(1)
 
 
+def seek_live(log: DataFrame, target, how: str, tombstones: DataFrame | None = None) -> DataFrame:
+    """The live key nearest target over all runs of a log, as seek(): versions and deletes are resolved first, range deletes too if given."""
+    from layerstone.operators.range_delete import apply
+
+    test = {"ge": F.col("key") >= F.lit(target), "gt": F.col("key") > F.lit(target), "le": F.col("key") <= F.lit(target), "lt": F.col("key") < F.lit(target)}[how]
+    rows = log.filter(test)  # reaches the scan, and with it the statistics of files and row groups
+    return seek(snapshot(rows if tombstones is None else apply(rows, tombstones)), "key", target, how)
+
+
+def ordered_versions(log: DataFrame, out: str = "place") -> DataFrame:
+    """Every version, deletes too, numbered by key ascending and seq descending over the whole log."""
+    from layerstone.plans.ordered import numbered
+
+    return numbered(log.select("key", "seq", "op", "value"), [F.col("key").asc(), F.col("seq").desc()], out)
+
+
 def edge(rows: DataFrame, key: str, last: bool = False) -> DataFrame:
     """The first or last row in key order."""
     return rows.orderBy(F.col(key).desc() if last else F.col(key)).limit(1)

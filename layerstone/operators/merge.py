@@ -18,10 +18,9 @@ def merge(runs: list[DataFrame]) -> DataFrame:
 
 
 def dedup(log: DataFrame, priority: Column | None = None) -> DataFrame:
-    """One row for each (key, seq): the one of lowest priority (run_id unless given)."""
+    """One row for each (key, seq): the one of lowest priority (run_id unless given). Aggregated by hash where value is a number."""
     priority = F.col("run_id") if priority is None else priority
-    kept = F.min_by(F.struct("op", "value"), priority).alias("kept")
-    return log.groupBy("key", "seq").agg(kept).select("key", "seq", "kept.op", "kept.value")
+    return log.groupBy("key", "seq").agg(F.min_by("op", priority).alias("op"), F.min_by("value", priority).alias("value"))
 
 
 def allocate(writes: DataFrame, order: str, after: int = 0) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators over a total order without a single-task sort.
 
-Rows are cut into key ranges by bounds from a bounded sample of keys; windows run inside a range, and
-what crosses ranges (the last key before, the first key after, the count before) is one small row a
-range. The bounds are literals, so every evaluation cuts the same way.
+Rows are written once in ranges of the order, which Spark's range partitioner draws; rows of one key
+may be dealt over several ranges, so a key that a third of all rows share is no heavier than others.
+Windows run inside a range, and what crosses ranges (the last key before, the first key after, the
+count before) is one small row a range.
+
+Null keys sort first. Among equal keys any order may come out.
 """
 
 from __future__ import annotations
@@ -10,74 +13,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys drawn for each bound.
-DRAWN = 32
-
+from layerstone.storage import materialize
 
-def ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+RANGE, SALT = "range_", "salt_"
 
 
-def cut(df: DataFrame, key: str, n: int | None = None) -> Column:
-    """The range number of key, from at most n - 1 bounds of a sample of DRAWN * n keys."""
-    n = n or ranges(df)
-    if n < 2:
-        return F.lit(0)
-    drawn = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(DRAWN * n)
-    keys = sorted({bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in drawn.collect()})
-    bounds = [keys[i * len(keys) // n] for i in range(1, n)] if len(keys) >= n else keys[1:]
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
+def ranged(df: DataFrame, *order: str | Column, n: int | None = None) -> DataFrame:
+    """df with a range number that ascends with the order, written; n ranges, or as many as the data need."""
+    salted = df.withColumn(SALT, F.xxhash64(F.monotonically_increasing_id()))
+    by = [*order, F.col(SALT)]
+    dealt = salted.repartitionByRange(n, *by) if n else salted.repartitionByRange(*by)
+    return materialize(dealt.withColumn(RANGE, F.spark_partition_id()).drop(SALT), "ranged")
 
 
-def _carry(df: DataFrame, part: str, value: Column, pick, following: bool) -> DataFrame:
-    """part, carried: the picked value of the nearest range before (or after) that has one. A row a range."""
-    own = df.groupBy(part).agg(pick(value).alias("own"))
-    order = Window.orderBy(F.col(part))
+def _carry(df: DataFrame, value: Column, pick, following: bool) -> DataFrame:
+    """range_of, carried: the picked value of the nearest range before (or after) that has one. A row a range."""
+    own = df.groupBy(RANGE).agg(pick(value).alias("own"))
+    order = Window.orderBy(RANGE)
     frame = order.rowsBetween(1, Window.unboundedFollowing) if following else order.rowsBetween(Window.unboundedPreceding, -1)
     near = (F.first if following else F.last)("own", ignorenulls=True).over(frame)
-    return own.select(F.col(part).alias("range_of"), near.alias("carried"))
+    return F.broadcast(own.select(F.col(RANGE).alias("range_of"), near.alias("carried")))
 
 
 def neighbours(df: DataFrame, key: str, out: str, value: str | None = None, following: bool = False, n: int | None = None) -> DataFrame:
-    """df with the value (key itself unless named) of the row before, or after, in key order."""
+    """df with the value (key itself unless named) of the row before, or after, in key order; null where there is none."""
     value = value or key
-    cutted = df.withColumn("range_", cut(df, key, n))
-    order = Window.partitionBy("range_").orderBy(key)
+    cut = ranged(df, key, n=n)
+    order = Window.partitionBy(RANGE).orderBy(key)
     edge = (lambda c: F.min_by(c, F.col(key))) if following else (lambda c: F.max_by(c, F.col(key)))
-    inside = (F.lead if following else F.lag)(value).over(order)
-    carried = F.broadcast(_carry(cutted, "range_", F.col(value), edge, following))  # a row a range
-    joined = cutted.withColumn(out, inside).join(carried, F.col("range_") == F.col("range_of"), "left")
+    place, last = F.row_number().over(order), F.lead(F.lit(1)).over(order).isNull()
+    inside = cut.withColumn(out, (F.lead if following else F.lag)(value).over(order)).withColumn("edge_", last if following else place == 1)
+    joined = inside.join(_carry(cut, F.col(value), edge, following), F.col(RANGE) == F.col("range_of"), "left")
     # only the first (or last) row of a range has no neighbour inside it
-    return joined.withColumn(out, F.coalesce(F.col(out), F.col("carried"))).drop("range_", "range_of", "carried")
+    return joined.withColumn(out, F.when(F.col("edge_"), F.col("carried")).otherwise(F.col(out))).drop(RANGE, "edge_", "range_of", "carried")
 
 
 def seek(probes: DataFrame, keys: DataFrame, how: str, n: int | None = None) -> DataFrame:
-    """probe, found for every probe: the key of keys that how asks for ("le", "lt", "ge", "gt"), or null.
+    """probe, found for every probe: the key of keys that how asks for ("le", "lt", "ge", "gt"), or null. A null probe finds nothing, a null key is never found.
 
-    Probes and keys (one column each: probe, key) are merged in order; no probe meets more than its
-    range's rows.
+    Probes and keys (one column each) are merged in order; no probe meets more than its range's rows.
     """
     following, with_equal = how in ("ge", "gt"), how in ("le", "ge")
-    side = lambda rank, c, k: c.select(F.col(c.columns[0]).alias("at"), F.lit(rank).alias("rank"), k.alias("key"))
     # equal keys stand on the side of the probe on which they count as found
-    first = (with_equal and not following) or (following and not with_equal)
-    merged = side(0 if first else 2, keys, F.col(keys.columns[0])).unionByName(side(1, probes, F.lit(None).cast(keys.schema[0].dataType)))
-    merged = merged.withColumn("range_", cut(merged, "at", n))
-    order = Window.partitionBy("range_").orderBy("at", "rank")
+    rank = 0 if with_equal != following else 2
+    known = keys.select(F.col(keys.columns[0]).alias("at"), F.lit(rank).alias("rank")).filter("at is not null")
+    asked = probes.select(F.col(probes.columns[0]).cast(known.schema["at"].dataType).alias("at"), F.lit(1).alias("rank"))
+    merged = ranged(known.unionByName(asked), "at", "rank", n=n)
+    key = F.when(F.col("rank") != 1, F.col("at"))
+    order = Window.partitionBy(RANGE).orderBy("at", "rank")
     frame = order.rowsBetween(1, Window.unboundedFollowing) if following else order.rowsBetween(Window.unboundedPreceding, -1)
-    inside = (F.first if following else F.last)("key", ignorenulls=True).over(frame)
-    carried = F.broadcast(_carry(merged, "range_", F.col("key"), F.min if following else F.max, following))
-    found = merged.withColumn("inside", inside).filter("rank = 1").join(carried, F.col("range_") == F.col("range_of"), "left")
-    return found.select(F.col("at").alias("probe"), F.coalesce("inside", "carried").alias("found"))
-
-
-def numbered(df: DataFrame, key: str, out: str, start: int = 1, n: int | None = None) -> DataFrame:
-    """df with dense numbers in key order from start: counts a range, then offsets."""
-    cutted = df.withColumn("range_", cut(df, key, n))
-    counts = cutted.groupBy("range_").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select(F.col("range_").alias("range_of"), before.alias("before")))  # a row a range
-    place = F.row_number().over(Window.partitionBy("range_").orderBy(key))
-    return cutted.withColumn(out, place).join(offsets, F.col("range_") == F.col("range_of")).withColumn(out, (F.col(out) + F.col("before") + start - 1).cast("bigint")).drop("range_", "range_of", "before")
+    inside = (F.first if following else F.last)(key, ignorenulls=True).over(frame)
+    carried = _carry(merged, key, F.min if following else F.max, following)
+    found = merged.withColumn("inside", inside).filter("rank = 1").join(carried, F.col(RANGE) == F.col("range_of"), "left")
+    return found.select(F.col("at").alias("probe"), F.when(F.col("at").isNotNull(), F.coalesce("inside", "carried")).alias("found"))
+
+
+def numbered(df: DataFrame, order: str | Column | list, out: str, start: int = 1, n: int | None = None) -> DataFrame:
+    """df with dense numbers from start in an order (a column or several): counts a range, then offsets."""
+    by = order if isinstance(order, list) else [order]
+    cut = ranged(df, *by, n=n)
+    counts = cut.groupBy(RANGE).agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select(F.col(RANGE).alias("range_of"), before.alias("before")))  # a row a range
+    place = F.row_number().over(Window.partitionBy(RANGE).orderBy(*by))
+    return cut.withColumn(out, place).join(offsets, F.col(RANGE) == F.col("range_of")).withColumn(out, (F.col(out) + F.col("before") + start - 1).cast("bigint")).drop(RANGE, "range_of", "before")

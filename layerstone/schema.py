@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 DELETE, PUT = 0, 1
+ROWS, RANGES = "rows", "ranges"
 LEVELS = 7
 
 #: Update types by number.
@@ -25,9 +26,9 @@ def range_tombstones(key: T.DataType = T.BinaryType()) -> T.StructType:
 
 
 def manifest(key: T.DataType = T.BinaryType()) -> T.StructType:
-    """One row a file of one version; min and max are null for an empty file."""
+    """One row a file of one version; min and max are null for an empty file. kind tells files of rows from files of range deletes."""
     return T.StructType([
-        T.StructField("file_num", T.LongType(), False), T.StructField("level", T.IntegerType(), False), T.StructField("path", T.StringType(), False),
+        T.StructField("file_num", T.LongType(), False), T.StructField("level", T.IntegerType(), False), T.StructField("kind", T.StringType(), False), T.StructField("path", T.StringType(), False),
         T.StructField("file_size", T.LongType(), False), T.StructField("n_rows", T.LongType(), False),
         T.StructField("min_key", key), T.StructField("max_key", key), T.StructField("min_seq", T.LongType()), T.StructField("max_seq", T.LongType()),
     ])

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FRAME, HEAD, LENGTH = struct.Struct("<II"), struct.Struct("<qBI"), struct.Struct("<I")
 RECORDS = "seq long, op tinyint, key binary, value binary, rejected string"
@@ -79,3 +80,75 @@ def files(spark: SparkSession, folder: str, pattern: str = "wal-*.log") -> DataF
 def replay(blocks: DataFrame) -> DataFrame:
     """key, seq, op, value of all readable records; order does not matter, seq is in each."""
     return read(blocks).filter("rejected is null").select("key", "seq", "op", "value")
+
+
+class LogFile(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class FramedLogReader(DataSourceReader):
+    """One partition a log file, read record by record: a file may be larger than memory."""
+
+    def __init__(self, folder: str, pattern: str):
+        self.folder, self.pattern = folder, pattern
+
+    def partitions(self) -> list[LogFile]:
+        import fnmatch
+
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(self.folder)
+        found = system.get_file_info(fs.FileSelector(folder))
+        return [LogFile(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern)]
+
+    def read(self, partition: LogFile) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.folder)
+        with system.open_input_stream(partition.path) as stream:
+            yield from decode_stream(stream.read)
+
+
+def decode_stream(take) -> Iterator[tuple]:
+    """As decode(), from a function that gives the next n bytes."""
+    while head := take(FRAME.size):
+        payload = take(FRAME.unpack(head)[1]) if len(head) == FRAME.size else b""
+        yield from decode(head + payload)
+
+
+class FramedLogSource(DataSource):
+    """spark.read.format("framed_log").option("path", uri).option("pattern", "wal-*.log"), once it is registered."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "framed_log"
+
+    def schema(self) -> str:
+        return RECORDS
+
+    def reader(self, schema) -> FramedLogReader:
+        return FramedLogReader(self.options["path"], self.options.get("pattern", "wal-*.log"))
+
+
+def write_files(log: DataFrame, folder: str) -> None:
+    """The log's frames as files wal-<partition>.log, each written aside and renamed into place."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        task = TaskContext.get()
+        target, n = f"{path}/wal-{task.partitionId():06}.log", 0
+        aside = f"{path}/.{task.taskAttemptId()}.part"
+        with system.open_output_stream(aside) as out:
+            for part in parts:
+                for data in part.column(0).to_pylist():
+                    out.write(data)
+                    n += len(data)
+        system.move(aside, target)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["bytes"])
+
+    frame(log).mapInArrow(run, "bytes long").agg(F.sum("bytes")).collect()

@@ -1,4 +1,4 @@
-"""Streams of writes: newest value per key, ingestion into a log, restart from checkpoints."""
+"""Streams of writes: newest value per key, ingestion into a log or a store, restart from checkpoints."""
 
 from __future__ import annotations
 
@@ -10,12 +10,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from layerstone.plans.manifest import Store
+
 
 class LatestValue(StatefulProcessor):
     """Keeps (seq, op, value) of each key and emits it whenever a newer write comes; older and repeated writes change nothing."""
 
+    def __init__(self, value: str):
+        self.value = value
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("newest", "seq long, op int, value double")
+        self.state = handle.getValueState("newest", f"seq long, op int, value {self.value}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get() if self.state.exists() else None
@@ -23,21 +28,22 @@ class LatestValue(StatefulProcessor):
         for batch in rows:
             top = batch.loc[batch["seq"].idxmax()]
             if new is None or top["seq"] > new[0]:
-                new = (int(top["seq"]), int(top["op"]), None if pd.isna(top["value"]) else float(top["value"]))
+                value = top["value"]
+                missing = value is None or isinstance(value, float) and pd.isna(value)
+                new = (int(top["seq"]), int(top["op"]), None if missing else getattr(value, "item", lambda: value)())
         if new is not None and new != old:
             self.state.update(new)
-            yield pd.DataFrame({"key": [key[0]], "seq": [new[0]], "op": [new[1]], "value": pd.array([new[2]], "Float64")})
+            yield pd.DataFrame({"key": [key[0]], "seq": [new[0]], "op": [new[1]], "value": pd.Series([new[2]], dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-LATEST = "key long, seq long, op int, value double"
-
-
 def latest_values(writes: DataFrame) -> DataFrame:
-    """The stream of newest versions (key, seq, op, value) of a stream of writes (key BIGINT, value DOUBLE)."""
-    return writes.selectExpr("key", "seq", "cast(op as int) op", "value").groupBy("key").transformWithStateInPandas(LatestValue(), LATEST, "Update", "none")
+    """The stream of newest versions (key, seq, op, value) of a stream of writes; key and value keep their types."""
+    key, value = (writes.schema[c].dataType.simpleString() for c in ("key", "value"))
+    rows = writes.selectExpr("key", "seq", "cast(op as int) op", "value")
+    return rows.groupBy("key").transformWithStateInPandas(LatestValue(value), f"key {key}, seq long, op int, value {value}", "Update", "none")
 
 
 def ingest(writes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -45,6 +51,15 @@ def ingest(writes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return writes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def to_store(writes: DataFrame, store: Store, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Flush every micro-batch of a stream of writes to a store as one version. A batch that comes again after a failure is committed once."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        store.flush(batch, tag=f"{name}-{number}")
+
+    return writes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def source(reader: DataStreamReader, schema: T.StructType | str, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream over a folder of parquet files."""
     reader = reader.schema(schema)

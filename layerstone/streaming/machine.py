@@ -1,8 +1,9 @@
 """User-defined state machines over update streams, in batch and as a stream.
 
-A machine is a function step(state, update) -> (state, emitted) on plain dicts; state starts as None.
-Updates of one machine are taken in (registered_ns, tie-breaker) order: over the whole input in
-batch, within a micro-batch in a stream (across micro-batches, order is arrival order).
+A machine is a function step(state, update) -> (state, emitted) on plain dicts; state starts as None,
+emitted is a list of dicts. Updates of one machine are taken in (registered_ns, tie-breaker) order:
+over the whole input in batch, within a micro-batch in a stream (across micro-batches, order is
+arrival order). Both give a row an emitted update and a row a machine's state, told apart by kind.
 """
 
 from __future__ import annotations
@@ -11,48 +12,73 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Step = Callable[[dict | None, dict], tuple[dict, list[dict]]]
-STATE = "machine long, state string"
+STATE, EMITTED = "state", "emitted"
+OUT = "machine long, kind string, registered_ns long, body string"
+COLUMNS = ["machine", "kind", "registered_ns", "body"]
+ERROR = 5
 
 
 def counting(state: dict | None, update: dict) -> tuple[dict, list[dict]]:
-    """The sample machine: how many steps, the last type and when it came."""
+    """The sample machine: how many steps, the last type and when it came; it emits an alert at every error."""
     steps = (state or {"steps": 0})["steps"] + 1
-    return {"steps": steps, "last_type": update["type"], "last_ns": update["registered_ns"]}, []
+    emitted = [{"alert": "error", "step": steps}] if update["type"] == ERROR else []
+    return {"steps": steps, "last_type": update["type"], "last_ns": update["registered_ns"]}, emitted
 
 
-def fold(updates: DataFrame, step: Step, tie: str = "event_id") -> DataFrame:
-    """machine, state (JSON) after all updates. Sorted partitions are folded row by row, so a machine with very many updates needs no more memory than one with few."""
+def _dump(value: dict | None) -> str:
+    return json.dumps(value, sort_keys=True)
+
+
+def run(updates: DataFrame, step: Step, tie: str = "event_id") -> DataFrame:
+    """machine, kind, registered_ns, body (JSON): every emitted update, and each machine's state after all updates.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, state, begun = None, None, False
+    Sorted partitions are folded row by row, so a machine with very many updates needs no more memory
+    than one with few.
+    """
+
+    def fold_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, state, at, begun = None, None, None, False
         for part in parts:
             done = []
             for update in part.to_dict("records"):
                 if not begun or update["machine"] != machine:
                     if begun:
-                        done.append((machine, json.dumps(state, sort_keys=True)))
+                        done.append((machine, STATE, at, _dump(state)))
                     machine, state, begun = update["machine"], None, True
-                state, _ = step(state, update)
-            yield pd.DataFrame(done, columns=["machine", "state"])
+                state, emitted = step(state, update)
+                at = update["registered_ns"]
+                done += [(machine, EMITTED, at, _dump(e)) for e in emitted]
+            yield pd.DataFrame(done, columns=COLUMNS)
         if begun:
-            yield pd.DataFrame([(machine, json.dumps(state, sort_keys=True))], columns=["machine", "state"])
+            yield pd.DataFrame([(machine, STATE, at, _dump(state))], columns=COLUMNS)
+
+    return updates.repartition("machine").sortWithinPartitions("machine", "registered_ns", tie).mapInPandas(fold_rows, OUT)
 
-    return updates.repartition("machine").sortWithinPartitions("machine", "registered_ns", tie).mapInPandas(run, STATE)
+
+def fold(updates: DataFrame, step: Step, tie: str = "event_id") -> DataFrame:
+    """machine, state (JSON) after all updates."""
+    return run(updates, step, tie).filter(F.col("kind") == STATE).select("machine", F.col("body").alias("state"))
+
+
+def emitted(updates: DataFrame, step: Step, tie: str = "event_id") -> DataFrame:
+    """machine, registered_ns, emitted (JSON): what the steps emitted, and at which update."""
+    return run(updates, step, tie).filter(F.col("kind") == EMITTED).select("machine", "registered_ns", F.col("body").alias("emitted"))
 
 
 def fold_counting(updates: DataFrame, tie: str = "event_id") -> DataFrame:
-    """The sample machine's end states without leaving the JVM: machine, steps, last_type, last_ns."""
-    at = F.struct("registered_ns", tie)
-    return updates.groupBy("machine").agg(F.count("*").alias("steps"), F.max_by("type", at).alias("last_type"), F.max("registered_ns").alias("last_ns"))
+    """The sample machine's end states without leaving the JVM: machine, steps, last_type, last_ns. Time and tie are one number, so all is aggregated by hash."""
+    whole = "decimal(38,0)"
+    at = F.col("registered_ns").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col(tie).cast("decimal(19,0)")
+    return updates.groupBy("machine").agg(F.count("*").alias("steps"), F.max_by("type", at.cast(whole)).alias("last_type"), F.max("registered_ns").alias("last_ns"))
 
 
 class Machine(StatefulProcessor):
-    """Runs step over each machine's updates and emits its state after every micro-batch; restart restores it."""
+    """Runs step over each machine's updates; emits what the steps emit and its state after every micro-batch. A restart restores it."""
 
     def __init__(self, step: Step, tie: str):
         self.step, self.tie = step, tie
@@ -61,16 +87,24 @@ class Machine(StatefulProcessor):
         self.state = handle.getValueState("state", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
+        state, at, out = json.loads(self.state.get()[0]) if self.state.exists() else None, None, []
         for update in pd.concat(list(rows)).sort_values(["registered_ns", self.tie]).to_dict("records"):
-            state, _ = self.step(state, update)
-        self.state.update((json.dumps(state, sort_keys=True),))
-        yield pd.DataFrame({"machine": [key[0]], "state": [json.dumps(state, sort_keys=True)]})
+            state, sent = self.step(state, update)
+            at = update["registered_ns"]
+            out += [(key[0], EMITTED, at, _dump(e)) for e in sent]
+        self.state.update((_dump(state),))
+        yield pd.DataFrame([*out, (key[0], STATE, at, _dump(state))], columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def run_stream(updates: DataFrame, step: Step, tie: str = "event_id") -> DataFrame:
-    """The stream of states (machine, state) of a stream of updates."""
-    return updates.groupBy("machine").transformWithStateInPandas(Machine(step, tie), STATE, "Update", "none")
+    """The stream of emitted updates and states (machine, kind, registered_ns, body) of a stream of updates."""
+    return updates.groupBy("machine").transformWithStateInPandas(Machine(step, tie), OUT, "Update", "none")
+
+
+def snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """machine, state (JSON) as a stopped or running stream's checkpoint holds them."""
+    held = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    return held.select(F.col("key.machine").alias("machine"), F.col("value.state").alias("state"))

@@ -65,10 +65,10 @@ def test_empty_key_empty_value_and_high_bytes(spark):
 
 
 def test_horizon_keeps_newest_and_recent(spark):
-    ops = [("key1", 35, 0, None), ("key1", 30, 1, "v30"), ("key1", 20, 1, "v20"), ("key1", 10, 1, "v10"), ("key2", 15, 1, "v15")]
+    ops = [("lamp", 91, 0, None), ("lamp", 77, 1, "lit"), ("lamp", 42, 1, "dim"), ("lamp", 8, 1, "off"), ("desk", 12, 1, "oak"), ("desk", 11, 1, "elm")]
     log = spark.createDataFrame(ops, LOG).withColumn("run_id", F.lit(0))
-    kept = compact.compact(log, compact.keep_newest_or_since(25))
-    assert {(r["key"], r["seq"]) for r in kept.collect()} == {("key1", 35), ("key1", 30), ("key2", 15)}
+    kept = compact.compact(log, compact.keep_newest_or_since(60))
+    assert {(r["key"], r["seq"]) for r in kept.collect()} == {("lamp", 91), ("lamp", 77), ("desk", 12)}
 
 
 def test_merge_is_order_independent_and_prefers_the_first_run(spark):
@@ -124,14 +124,53 @@ def test_seeks_equal_bisect(spark, ranges):
     assert ordered.seek(p, k.limit(0), "le", ranges).filter("found is not null").count() == 0
 
 
-def test_fruit_navigation(spark):
-    fruit = spark.createDataFrame([("apple", "red"), ("banana", "yellow"), ("cherry", "red"), ("date", "brown"), ("fig", "purple")], "key string, value string")
+def test_word_navigation(spark):
+    towns = spark.createDataFrame([("Oslo", 1), ("Lima", 2), ("Rome", 3), ("Kyiv", 4)], "key string, value long")
     get = lambda df: [r["key"] for r in df.collect()]
-    assert get(lookup.seek(fruit, "key", "cherry", "le")) == ["cherry"]
-    assert get(lookup.seek(fruit, "key", "cherry", "lt")) == ["banana"]
-    assert get(lookup.seek(fruit, "key", "apple", "lt")) == []
-    assert get(lookup.edge(fruit, "key")) == ["apple"]
-    assert get(lookup.edge(fruit, "key", last=True)) == ["fig"]
+    assert get(lookup.seek(towns, "key", "Lima", "le")) == ["Lima"]
+    assert get(lookup.seek(towns, "key", "Lima", "lt")) == ["Kyiv"]
+    assert get(lookup.seek(towns, "key", "Kyiv", "lt")) == []
+    assert get(lookup.seek(towns, "key", "M", "ge")) == ["Oslo"]
+    assert get(lookup.edge(towns, "key")) == ["Kyiv"]
+    assert get(lookup.edge(towns, "key", last=True)) == ["Rome"]
+
+
+def test_seek_over_runs_passes_over_deletes(spark):
+    ops = [(1, 1, 1, "a"), (3, 2, 1, "b"), (3, 5, 0, None), (4, 3, 1, "c"), (7, 4, 1, "d"), (7, 6, 1, "e")]
+    log = merge.merge([spark.createDataFrame(ops[i::2], "key long, seq long, op int, value string") for i in (0, 1)])
+    stones = spark.createDataFrame([(4, 5, 9)], "start long, end long, seq long")
+    assert rows(lookup.seek_live(log, 2, "ge")) == {(4, 3, "c")}
+    assert rows(lookup.seek_live(log, 2, "ge", stones)) == {(7, 6, "e")}
+    assert rows(lookup.seek_live(log, 7, "lt", stones)) == {(1, 1, "a")}
+    assert rows(lookup.seek_live(log, 7, "gt")) == set()
+    assert [(r["key"], r["seq"]) for r in lookup.ordered_versions(log).orderBy("place").collect()] == [(1, 1), (3, 5), (3, 2), (4, 3), (7, 6), (7, 4)]
+
+
+def test_null_probes_find_nothing_and_a_hot_key_is_dealt_over_ranges(spark):
+    keys = spark.createDataFrame([(3,), (9,), (None,)], "k long")
+    probes = spark.createDataFrame([(None,), (1,), (9,), (9,), (12,)], "p long")
+    found = lambda how: sorted(((r["probe"], r["found"]) for r in ordered.seek(probes, keys, how, 3).collect()), key=repr)
+    assert found("ge") == sorted([(None, None), (1, 3), (9, 9), (9, 9), (12, None)], key=repr)
+    assert found("lt") == sorted([(None, None), (1, None), (9, 3), (9, 3), (12, 9)], key=repr)
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("k"))
+    sizes = [r["count"] for r in ordered.ranged(hot, "k", n=8).groupBy(ordered.RANGE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3000 / 4
+    numbers = ordered.numbered(hot, "k", "n", n=8).collect()
+    assert sorted(r["n"] for r in numbers) == list(range(1, 3001))
+    assert [r["k"] for r in sorted(numbers, key=lambda r: r["n"])] == sorted(r["k"] for r in numbers)
+
+
+def test_plans_hash_and_never_broadcast_the_log(spark, data):
+    from layerstone import catalog
+
+    def plan(name):
+        return catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("snapshot_latest", "merge_runs_dedup", "compact_horizon", "multi_get", "fsm_fold", "range_tombstone_apply_many"):
+        assert "SortAggregate" not in plan(name)
+    assert "NestedLoop" not in plan("range_tombstone_coverage_many") + plan("range_tombstone_apply_many")
+    few = plan("range_tombstone_coverage")
+    assert "BroadcastNestedLoopJoin BuildRight, Inner" in few
 
 
 def test_compaction_picker_thresholds(spark):
@@ -146,12 +185,12 @@ def test_compaction_picker_thresholds(spark):
 
 
 def test_statistics(spark):
-    log = spark.createDataFrame([("key-1", 100, 1, "a", 0), ("key-2", 200, 1, "b", 0), ("key-3", 50, 0, None, 0)], LOG + ", run_id long")
+    log = spark.createDataFrame([("p", 31, 1, "a", 0), ("q", 64, 1, "b", 0), ("r", 17, 0, None, 0)], LOG + ", run_id long")
     r = stats.run_stats(log).first()
-    assert (r["min_key"], r["max_key"], r["min_seq"], r["max_seq"], r["n_deletes"]) == ("key-1", "key-3", 50, 200, 1)
-    keyed = spark.createDataFrame([(f"key-{i}", 1, 1, "v", 0, bytearray(f"key-{i}".encode() + ts.to_bytes(8, "big"))) for i, ts in ((1, 100), (2, 200), (3, 50))], LOG + ", run_id long, raw binary")
+    assert (r["min_key"], r["max_key"], r["min_seq"], r["max_seq"], r["n_deletes"]) == ("p", "r", 17, 64, 1)
+    keyed = spark.createDataFrame([(f"m{i}", 1, 1, "v", 0, bytearray(f"m{i}".encode() + ts.to_bytes(8, "big"))) for i, ts in enumerate((310, 77, 5000))], LOG + ", run_id long, raw binary")
     r = stats.run_stats(keyed, timestamp=codec.trailer(F.col("raw"))).first()
-    assert (r["min_ts"], r["max_ts"]) == (50, 200)
+    assert (r["min_ts"], r["max_ts"]) == (77, 5000)
 
 
 def test_codecs(spark):

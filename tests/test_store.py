@@ -49,6 +49,36 @@ def test_flush_prune_compact_vacuum(spark, tmp_path):
     assert rows(lookup.snapshot(store.read())) == want
 
 
+def test_range_deletes_in_the_store(spark, tmp_path):
+    store = make(spark, tmp_path)
+    ops = [(k, s * 100 + k, 1, float(s)) for s in range(4) for k in range(30)]
+    stones = [(3, 9, 250), (5, 20, 150), (25, 26, 9999), (7, 7, 9999)]
+    log, table = spark.createDataFrame(ops, LOG), spark.createDataFrame(stones, "start long, end long, seq long")
+    for s in range(4):
+        store.flush(log.filter(F.floor(F.col("seq") / 100) == s), files=2)
+    before = store.versions()[-1]
+    store.delete_ranges(table)
+    assert rows(store.ranges()) == set(stones[:3]) and store.ranges(before).count() == 0
+    seen = [o for o in ops if not any(a <= o[0] < b and q > o[1] for a, b, q in stones)]
+    want = {k: max((o[1], o[3]) for o in seen if o[0] == k) for k in {o[0] for o in seen}}
+    live = {(k, *v) for k, v in want.items()}
+    assert rows(store.live()) == live and (25, 325, 3.0) in rows(store.live(before))
+    assert rows(store.get(25)) == set() and rows(store.get(4)) == {(4, *want[4])}
+    assert rows(store.seek(25, "ge")) == {(26, *want[26])}
+    store.compact(compact.keep_all())
+    assert rows(store.live()) == live
+    assert rows(store.read()) == set(seen)  # hidden versions are gone from the files
+
+
+def test_a_tagged_flush_is_committed_once(spark, tmp_path):
+    store = make(spark, tmp_path)
+    batch = spark.createDataFrame([(1, 1, 1, 1.0)], LOG)
+    assert store.flush(batch, tag="s-0") == store.flush(batch, tag="s-0")
+    store.write(spark.createDataFrame([(2, 2, 1, 2.0)], LOG), tag="s-1")  # written, but its commit never came
+    store.flush(spark.createDataFrame([(2, 2, 1, 2.0)], LOG), tag="s-1")
+    assert rows(store.live()) == {(1, 1, 1.0), (2, 2, 2.0)} and store.read().count() == 2
+
+
 def test_damaged_file_fails_loudly(spark, tmp_path):
     store = make(spark, tmp_path)
     store.flush(spark.createDataFrame([(1, 1, 1, 1.0)], LOG), files=1)
@@ -77,6 +107,10 @@ def test_framed_log_round_trip_and_bad_frames(spark, tmp_path):
     read = framed_log.read(blocks)
     assert sorted(r["rejected"] for r in read.filter("rejected is not null").collect()) == ["bad checksum", "torn payload"]
     assert sorted(r["seq"] for r in framed_log.replay(blocks).collect()) == [1, 1, 2, 3, 3, 4, 4, 5, 5]
+    spark.dataSource.register(framed_log.FramedLogSource)
+    again = spark.read.format("framed_log").option("path", f"file://{tmp_path}").load()
+    same = lambda df: sorted(map(repr, df.collect()))
+    assert same(again) == same(read)
     log = spark.createDataFrame([(1, 1, "a", "x"), (2, 0, "a", None)], "seq long, op int, key string, value string")
     assert {(r["seq"], r["op"], bytes(r["key"])) for r in framed_log.replay(framed_log.frame(log)).collect()} == {(1, 1, b"a"), (2, 0, b"a")}
 
@@ -100,7 +134,7 @@ def test_machine_in_batch_equals_plain_fold(spark):
 
     def step(state, update):
         state = state or {"n": 0, "types": []}
-        return {"n": state["n"] + 1, "types": [*state["types"][-2:], update["type"]]}, []
+        return {"n": state["n"] + 1, "types": [*state["types"][-2:], update["type"]]}, [{"at": state["n"]}] * (update["type"] % 3)
 
     import json
 
@@ -111,9 +145,11 @@ def test_machine_in_batch_equals_plain_fold(spark):
             state, _ = step(state, {"type": u[2]})
         assert got[m] == state
     assert machine.fold(df.limit(0), step).count() == 0
+    sent = sorted((r["machine"], r["registered_ns"], json.loads(r["emitted"])["at"]) for r in machine.emitted(df, step).collect())
+    assert sent == sorted((m, t, i) for m in range(3) for i, t in enumerate(range(m, 40, 3)) for _ in range(t % 13 % 3))
 
 
-@pytest.mark.parametrize("wrong", [{"page_bytes": 0}, {"level0_files": -1}, {"bloom_keys": "many"}, {"codec": "rar"}, {"page_bytes": 2 << 30}])
+@pytest.mark.parametrize("wrong", [{"page_bytes": 0}, {"level0_files": -1}, {"bloom_keys": "many"}, {"codec": "rar"}, {"order": "locale"}, {"page_bytes": 2 << 30}])
 def test_options_are_checked(wrong):
     assert Options().writer()["compression"] == "zstd"
     with pytest.raises(ValueError):
