@@ -24,10 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import TOKENIZER_DIR, batches, small_batches
+from layerstone.llm.common import batches, small_batches, tokenizer_file
 
-#: The split pattern of the public rank files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of texts that are encoded at once, and characters from which a text is cut; the library needs some fifty times as much.
 BATCH, PIECE = 1 << 19, 1 << 18
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -45,6 +43,17 @@ def byte_table() -> dict[int, str]:
     return table
 
 
+def rank_file(path: str | None) -> str:
+    return path or tokenizer_file("byte_bpe_50k.tiktoken")
+
+
+def split_pattern() -> str:
+    """The split pattern of the public rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
@@ -73,7 +82,7 @@ def tokenizer_json(path: str) -> str:
         if len(token) > 1 and (pair := halves(token, ranks)):
             merges.append((spell(pair[0]), spell(pair[1])))
     tokenizer = Tokenizer(models.BPE({spell(t): i for t, i in ranks.items()}, merges, cache_capacity=0, ignore_merges=True))
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(split_pattern()), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return tokenizer.to_str()
 
 
@@ -129,9 +138,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def encode(docs: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
+def encode(docs: DataFrame, rank_path: str | None = None) -> DataFrame:
     """doc_id, ids, and each token's byte offsets in the text. One pass, no shuffle."""
-    description = docs.sparkSession.sparkContext.broadcast(tokenizer_json(rank_path))  # bounded by the vocabulary
+    description = docs.sparkSession.sparkContext.broadcast(tokenizer_json(rank_file(rank_path)))  # bounded by the vocabulary
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(description.value)
@@ -144,9 +153,9 @@ def encode(docs: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tikt
     return _texts(docs).mapInArrow(run, ENCODED)
 
 
-def decode(encoded: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
+def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
     """doc_id and the decoded bytes of ids."""
-    description = encoded.sparkSession.sparkContext.broadcast(tokenizer_json(rank_path))
+    description = encoded.sparkSession.sparkContext.broadcast(tokenizer_json(rank_file(rank_path)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(description.value)
@@ -156,9 +165,9 @@ def decode(encoded: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.t
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def digests(docs: DataFrame, rank_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, rank_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes; the ids too, if asked for. One pass, no shuffle."""
-    description = docs.sparkSession.sparkContext.broadcast(tokenizer_json(rank_path))
+    description = docs.sparkSession.sparkContext.broadcast(tokenizer_json(rank_file(rank_path)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(description.value)

@@ -1,62 +1,35 @@
-"""Helpers shared by the pipeline operators: table reads, shared storage, hashing words."""
+"""Helpers shared by the pipeline operators: table reads, hashing words, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public tokenizer files live; a parameter everywhere it is used.
-TOKENIZER_DIR = "/opt/tokenizers"
+from layerstone.storage import materialize, shared_dir
+
+__all__ = ["ARROW_BYTES", "batches", "fresh", "materialize", "read", "shared_dir", "small", "small_batches", "tokenizer_file", "word_count"]
 
-#: Partitions of written tables: at most so many a core, or rows a file where the rows are known.
-FILES_PER_CORE, ROWS_PER_FILE = 4, 1_000_000
-#: Bytes of an Arrow batch.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch, and rows that are broadcast at most.
+ARROW_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary is; every operator takes another path as a parameter."""
+    import public_tokenizers
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a folder of ours where it is unset.
+    return public_tokenizers.path(name)
 
-    The fallback is for single-machine sessions such as tests; a cluster names its own folder.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not own:
-        own = f"file://{tempfile.mkdtemp(prefix='layerstone-')}"
-        spark.conf.set("spark.checkpoint.dir", own)
-    return own.rstrip("/")
 
-
-def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df in no more partitions than its rows (if known) or the cluster's cores need, so that it is written to few files.
-
-    Every file costs its task a fixed time and, on file systems without native support, a process.
-    Partitions are joined without a shuffle. Where executors come and go, their number tells
-    nothing, and only known rows are used.
-    """
-    spark = df.sparkSession
-    if rows is not None:
-        return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
-        return df
-    return df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
-    """Write df to the shared folder once and read it back: cuts lineage and survives lost executors. rows: about how many there are, if known."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/layerstone/{label}-{uuid.uuid4().hex}"
-    few_files(df, rows).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, marked for broadcast only if they are few; rows are materialized, so counting is cheap."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -79,13 +52,15 @@ def word_count(text: Column) -> Column:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of its session limited to BATCH_BYTES where nothing smaller is set.
+    """df, with Arrow batches of its session limited to ARROW_BYTES where the session leaves Spark's default.
 
-    Python workers and the JVM each hold whole batches, so this bounds what a task needs however long texts are.
+    Python workers and the JVM each hold whole batches, so this bounds what a task needs however long
+    texts are. Spark reads the setting when a plan is run, so it stays set for the session; a session
+    that names its own size keeps it.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) == f"{64 << 20}b":  # Spark's own
-        conf.set(name, str(BATCH_BYTES))
+        conf.set(name, str(ARROW_BYTES))
     return df
 
 

@@ -4,8 +4,9 @@ Each language has a zstandard raw-content dictionary made of its own training te
 encoded once per dictionary, and the language whose dictionary gives the fewest bytes wins. Where
 the runner-up is close, the answer is marked as rejected.
 
-Learning uses a bounded sample of the labelled rows: ROWS_PER_LANGUAGE rows with the smallest hash
-of doc_id in each language, whole texts, until a dictionary holds DICTIONARY_BYTES. Lines that the
+Learning uses a bounded sample of the labelled rows: of each language the ROWS_PER_LANGUAGE rows with
+the smallest hash of doc_id and text among those of at most ROW_BYTES, equal rows once, whole texts,
+until a dictionary holds DICTIONARY_BYTES. So at most 8 MB a language reach the driver. Lines that the
 sample shows in more than one language (licence lines and the like) tell nothing and are left out.
 
 Defined results: a null text, an empty text and a text without a letter give 'und', score 0 and
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import batches, small_batches
+from layerstone.llm.common import batches, materialize, small, small_batches
 
 #: Bounds of what is learned from.
-ROWS_PER_LANGUAGE = 128
+ROWS_PER_LANGUAGE, ROW_BYTES = 128, 64 << 10
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 9
 #: Languages closer than this share of the runner-up's bytes are not told apart.
@@ -55,29 +56,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % FOLDS == HELD_OUT_FOLD
 
 
+def sample(train: DataFrame, rows: int = ROWS_PER_LANGUAGE, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """lang, rank, text, rows_in: the rows that are learned from, and how many rows of the language there are."""
+    mark = F.xxhash64("doc_id", F.col("text"))
+    order = Window.partitionBy("lang").orderBy("mark", "key")
+    # one row of equal ones; only keys go through the window, texts are fetched for the chosen keys
+    light = train.filter(F.octet_length("text") <= row_bytes).select("lang", mark.alias("mark"), F.col("doc_id").alias("key")).distinct()
+    ranked = light.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    chosen = materialize(ranked.select(F.col("lang").alias("lang_of"), F.col("mark").alias("mark_of"), F.col("key").alias("key_of"), "rank"), "chosen", 1)
+    counts = train.groupBy(F.col("lang").alias("counted")).agg(F.count("*").alias("rows_in"))
+    own = train.withColumn("mark", mark).join(small(chosen), (F.col("lang") == F.col("lang_of")) & (F.col("mark") == F.col("mark_of")) & (F.col("doc_id") == F.col("key_of")))
+    once = own.select("lang", "rank", "text").distinct().join(counts, F.col("lang") == F.col("counted"))
+    return once.select("lang", "rank", "text", "rows_in")
+
+
 def dictionaries(train: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
-    """(language, dictionary), most training rows first; train has doc_id, text, lang without nulls in text and lang.
+    """(language, dictionary), most training rows first; train has doc_id, text, lang without nulls.
 
-    The driver receives at most rows texts a language.
+    The driver receives at most rows texts of ROW_BYTES a language.
     """
-    counts = train.groupBy("lang").count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    # only keys go through the window; texts are fetched for the chosen keys
-    chosen = train.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    picked = chosen.select("lang", "doc_id", "rank").collect()
-    keys = {(r["lang"], r["doc_id"]): r["rank"] for r in picked}
-    if not keys:
-        return []
-    texts = train.filter(F.col("doc_id").isin(sorted({d for _, d in keys if d is not None}))).select("lang", "doc_id", "text").collect()
     lines: dict[str, list[bytes]] = defaultdict(list)
     seen_in: dict[bytes, set[str]] = defaultdict(set)
-    for r in sorted(texts, key=lambda r: (keys.get((r["lang"], r["doc_id"]), rows), r["text"])):
-        if (r["lang"], r["doc_id"]) in keys:
-            for line in r["text"].split("\n"):
-                if clean := normalise(line):
-                    lines[r["lang"]].append(clean)
-                    seen_in[clean].add(r["lang"])
-    n = {r["lang"]: r["count"] for r in counts.collect()}
+    n: dict[str, int] = {}
+    for r in sorted(sample(train, rows).collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
+        n[r["lang"]] = r["rows_in"]
+        lines[r["lang"]] += []
+        for line in r["text"].split("\n"):
+            if clean := normalise(line):
+                lines[r["lang"]].append(clean)
+                seen_in[clean].add(r["lang"])
     own = {lang: b" ".join(x for x in some if len(seen_in[x]) == 1)[:size] for lang, some in lines.items()}
     return sorted(own.items(), key=lambda x: (-n[x[0]], x[0]))
 

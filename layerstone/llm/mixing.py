@@ -2,8 +2,9 @@
 
 Documents are counted by source and exact length in words. A source whose target is at least its
 size takes every document once and fits what is left; any other fits its whole target. Fitting is on
-length counts only: a proportional share of each length, further documents by largest remainder, and
-a bounded-knapsack dynamic programme for the remaining budget. Then that many documents of each
+length counts only: a proportional share of each length, further documents by largest remainder
+until no more than REST words (or the longest document's) remain, and a bounded-knapsack dynamic
+programme for that budget. Then that many documents of each
 length are selected in a seeded order, so reruns agree.
 
 The counts of a source are one row a length, never its documents. Within a source and length the
@@ -20,35 +21,43 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import few_files, fresh, materialize, word_count
+from layerstone.llm.common import fresh, materialize, word_count
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 17
 #: Documents to a bucket, about.
 BUCKET = 128
-#: Bits that the dynamic programme may hold (steps times budget); a larger budget is filled greedily first.
-PROGRAMME = 1 << 28
+#: Words that the dynamic programme fits, or the longest document's if that has more; it holds four bytes a word.
+REST = 1 << 20
 
 
 def best_sum(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     """How many of each (length, count) to take so that the sum is nearest budget; the smaller sum on a tie.
 
     Sums are the bits of an integer; counts are split into powers of two, so that each step is one shift.
+    Each sum remembers the step that first reached it, which is enough to walk back: memory is four
+    bytes a sum, however many steps there are.
     """
     if budget <= 0 or not items:
         return {}
     limit = budget + min(length for length, _ in items)
     mask, sums = (1 << (limit + 1)) - 1, 1
-    steps: list[tuple[int, int, int]] = []  # length, copies, sums before
+    reached_by = np.full(limit + 1, -1, np.int32)
+    steps: list[tuple[int, int]] = []  # length, copies
     for length, count in items:
         left, power = min(count, limit // length), 1
-        while left > 0:
+        while left > 0 and not sums >> budget & 1:
             copies = min(power, left)
-            steps.append((length, copies, sums))
-            sums |= (sums << (length * copies)) & mask
+            new = (sums << (length * copies)) & mask & ~sums
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little")
+                reached_by[np.flatnonzero(bits)] = len(steps)
+                sums |= new
+            steps.append((length, copies))
             left -= copies
             power *= 2
     below = (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1
@@ -57,41 +66,41 @@ def best_sum(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     if above and (up := budget + (above & -above).bit_length()) - budget < budget - below:
         best = up
     taken: dict[int, int] = {}
-    for length, copies, before in reversed(steps):
-        if not before >> best & 1:
-            taken[length] = taken.get(length, 0) + copies
-            best -= length * copies
+    while best:
+        length, copies = steps[reached_by[best]]
+        taken[length] = taken.get(length, 0) + copies
+        best -= length * copies
     return taken
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, bits: int = PROGRAMME) -> list[int]:
-    """How many documents of each length to take so that their lengths sum to about budget."""
-    programme = bits // max(1, sum(c.bit_length() for c in counts))
+def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each length to take so that their lengths sum to about budget.
+
+    Each length gets its proportional share, rounded down; further documents, by largest remainder and
+    then the longest first, until what is left is no more than REST words or the longest document; the
+    programme fits that rest.
+    """
     total = sum(x * c for x, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
     if budget <= 0 or not total:
         return [0] * len(lengths)
+    rest = max(REST, max(x for x, c in zip(lengths, counts) if c))
     take = [budget * c // total if x else 0 for x, c in zip(lengths, counts)]
     left = budget - sum(t * x for t, x in zip(take, lengths))
     by_remainder = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: (-(budget * counts[i] % total), lengths[i]))
     for i in by_remainder:
-        if left > programme and take[i] < counts[i] and lengths[i] <= left:
+        if left > rest and take[i] < counts[i]:
             take[i] += 1
             left -= lengths[i]
     for i in sorted(by_remainder, key=lambda i: -lengths[i]):
-        if left > programme:
-            more = min(counts[i] - take[i], left // lengths[i])
+        if left > rest:
+            more = min(counts[i] - take[i], -(-(left - rest) // lengths[i]))
             take[i] += more
             left -= more * lengths[i]
-    spare = [(lengths[i], counts[i] - take[i]) for i in by_remainder if take[i] < counts[i]]
-    if left > programme:  # only longer documents are left: the shortest of them, or none
-        shortest = min(spare, default=(0, 0))[0]
-        more = {shortest: 1} if shortest and shortest - left < left else {}
-    else:
-        more = best_sum([s for s in spare if s[0] <= 2 * left], left)
+    spare = [(lengths[i], counts[i] - take[i]) for i in by_remainder if take[i] < counts[i] and lengths[i] <= 2 * left]
     at = {lengths[i]: i for i in by_remainder}
-    for length, n in more.items():
+    for length, n in best_sum(spare, left).items():
         take[at[length]] += n
     return take
 
@@ -172,7 +181,7 @@ def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     light = materialize(_annotated(docs, n, seed).select("doc_id", n["key"], n["size"], n["hash"]), "sizes")
     decisions, buckets = _decisions(light.select(F.col(n["key"]).alias("key"), F.col(n["size"]).alias("size"), F.col(n["hash"]).alias("hash")), seed, **shares)
     chosen = _select(light, n, decisions, buckets)
-    return few_files(chosen).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(n["size"]).alias("size"), F.col(n["source_size"]).alias("source_size"), F.col(n["target"]).alias("target"), (F.col(n["size"]) * F.col(n["copies"])).alias("taken"))
+    return chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(n["size"]).alias("size"), F.col(n["source_size"]).alias("source_size"), F.col(n["target"]).alias("target"), (F.col(n["size"]) * F.col(n["copies"])).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
@@ -183,4 +192,4 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     decisions, buckets = _decisions(light, seed, **shares)
     chosen = _select(rows, n, decisions, buckets).filter(F.col(n["copies"]) > 0)
     repeated = chosen.withColumn(n["bucket"], F.explode(F.array_repeat(F.lit(1), F.col(n["copies"]))))
-    return few_files(repeated.select(*docs.columns))
+    return repeated.select(*docs.columns)

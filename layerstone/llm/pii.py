@@ -5,10 +5,12 @@ given and family names, an assignment into its value. Every distinct unit of the
 surrogate, so mentions that refer to the same thing still do (coreference), whatever their case or
 punctuation. A surrogate is drawn by a keyed hash and is consistent with its type: digits become
 digits, letters letters of the same script and case, hexadecimal stays hexadecimal, card numbers stay
-valid, an IP address stays one, given names keep the gender that the title tells.
+valid, an IP address stays one, given names keep the gender that the title tells. Names are told by a
+title or by words that introduce one ("my name is"); other names are not looked for.
 
 Collision check: units of a kind whose surrogates coincide, or whose surrogate is some unit that the
-corpus itself holds, are drawn again with the next attempt number until all are distinct.
+corpus itself holds, are drawn again with the next attempt number until all are distinct. Where they
+never are, the operator fails rather than return a mapping that confuses two units.
 
 Documents without a possible entity are passed on unread by all that follows. The others are joined
 with their units' surrogates; a unit that very many documents mention is an ordinary skewed equality
@@ -21,18 +23,20 @@ empty table gives no rows; columns other than text are kept as they are.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import few_files, fresh, materialize
+from layerstone.llm.common import fresh, materialize
 
-#: For tests and demonstrations; production passes its own.
-KEY = "layerstone"
-#: Drawing is over once all surrogates are distinct; after so many attempts a running mark is added instead.
-ATTEMPTS = 24
+#: The session setting that holds the key.
+KEY_SETTING = "spark.layerstone.pii.key"
+#: Attempts in a unit's own form. A form that has fewer values than the corpus has units cannot keep
+#: them distinct; from then on surrogates get longer, and after MOST attempts the operator fails.
+ATTEMPTS, MOST = 24, 60
 
 # What is detected, in order of precedence. Java regular expressions. Secrets are of any
 # length and taken whole; upper bounds are those of the notation itself.
@@ -43,6 +47,8 @@ TITLES = {"m": ("Mr", "Sr", "Herr", "Monsieur", "Señor", "Господин", "
 DOTTED, PLAIN = "Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Srta", "Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Господин|Госпожа|г-н|г-жа"
 SECRET_WORD = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)"
 ASSIGNED = rf"""(?<![\p{{L}}\p{{N}}]){SECRET_WORD}["']?\s{{0,3}}[:=]\s{{0,3}}["']?"""
+LOCAL = r"0\d{1,4}[ /-]\d{3,4}[ -]?\d{2,5}(?:[ -]?\d{1,4})?|0\d(?:[ .]\d{2}){4}|[679]\d{2} \d{3} \d{3}|[679]\d{2}(?: \d{2}){3}"
+CUE = r"(?i:my name is|ich heiße|mein Name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|name:|signed,?|sincerely,?|regards,?)\s"
 VALUE = r"""(?=[^\s"',;\d]*+\d)[^\s"',;]{6,}+"""
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----",
@@ -56,20 +62,22 @@ PATTERNS = {
     "ipv4": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|" + LOCAL + r")(?!\d|[.,-]\d)",
     "card": r"(?<![\d.,])(?:[3-6]\d{12,18}|[3-6]\d{3}(?:[ -]\d{4}){3}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{DOTTED})\.|(?:{PLAIN})) {NAME}(?: {NAME}){{0,2}}",
+    "introduced": rf"(?<!\p{{L}}){CUE}{NAME} {NAME}(?: {NAME})?",
 }
 #: All of them; none but a key block begins inside a word, and telling that first spares most places the search.
 ANY = PATTERNS["private_key"] + r"|(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "private_key") + ")"
 #: What every text with an entity has: a digit, an at sign, or the start of a key block or of a name.
 POSSIBLE = "[0-9@]"
+CUES = rf"(?<!\p{{L}}){CUE}\p{{Lu}}"
 STARTS = ["-----BEGIN ", *(f"{t}. " for t in DOTTED.split("|")), *(f"{t} " for t in PLAIN.split("|"))]
 
 
 def _possible(text: Column) -> Column:
     """Separate plain searches, which are several times as fast as one pattern of alternatives."""
-    return reduce(lambda found, start: found | text.contains(start), STARTS, text.rlike(POSSIBLE))
+    return reduce(lambda found, start: found | text.contains(start), STARTS, text.rlike(POSSIBLE)) | text.rlike(CUES)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,21 +118,24 @@ def _parts(entity: Column) -> Column:
     assigned = rf"(?s)^({ASSIGNED})(.*)$"
     value = cut(assigned, 2)
     secret = F.array(_part(cut(assigned, 1), F.when(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), "hexadecimal").otherwise("secret"), value, value))
-    words = F.split(entity, " ")
+    lead = F.regexp_extract(entity, rf"^({CUE})", 1)
+    introduced = lead != ""
+    # what stands before the names counts as one word, so that a title and a cue are treated alike
+    words = F.when(introduced, F.concat(F.array(F.rtrim(lead)), F.split(F.substr(entity, F.char_length(lead) + 1), " "))).otherwise(F.split(entity, " "))
     title = F.regexp_replace(words[0], r"\.$", "")
     gender = reduce(lambda rest, g: F.when(title.isin(*TITLES[g]), g).otherwise(rest), TITLES, F.lit("n"))
     last = F.size(words) - 2
     base = lambda w: F.regexp_replace(F.lower(w), "(ов|ев|ин)а$", "$1")
     name = F.transform(
         F.slice(words, F.lit(2), F.size(words)),
-        lambda w, i: _part(F.when(i == 0, F.concat(words[0], F.lit(" "))).otherwise(" "), F.when(i == last, "family").otherwise(F.concat(F.lit("given_"), gender)), w, F.when(i == last, base(w)).otherwise(F.lower(w))),
+        lambda w, i: _part(F.when(i == 0, F.when(introduced, lead).otherwise(F.concat(words[0], F.lit(" ")))).otherwise(" "), F.when(i == last, "family").otherwise(F.concat(F.lit("given_"), gender)), w, F.when(i == last, base(w)).otherwise(F.lower(w))),
     )
     # the same number in another notation is the same unit; keys and addresses are matched as they stand
     loose, exact = ("iban", "phone", "card", "social", "mac"), ("private_key", "web_token", "cloud_key", "service_key", "ipv6", "ipv4")
     others = F.lit(None)
     for kind in reversed([k for k in PATTERNS if k in loose + exact]):
         others = F.when(entity.rlike(f"^(?:{_inside(kind)})$"), F.array(_part("", kind, entity, _plain(entity) if kind in loose else entity))).otherwise(others)
-    return F.when(entity.rlike(rf"(?s)^{ASSIGNED}."), secret).when(entity.rlike(rf"^(?:(?:{DOTTED})\.|(?:{PLAIN})) "), name).when(entity.rlike("^[^@]+@[^@]+$"), email).otherwise(others)
+    return F.when(entity.rlike(rf"(?s)^{ASSIGNED}."), secret).when(introduced | entity.rlike(rf"^(?:(?:{DOTTED})\.|(?:{PLAIN})) "), name).when(entity.rlike("^[^@]+@[^@]+$"), email).otherwise(others)
 
 
 def _inside(kind: str) -> str:
@@ -201,7 +212,8 @@ def _surrogate(kind: Column, unit: Column, norm: Column, keep: Column, attempt:
         names = F.when(kind.startswith("given_"), _made_up(norm, F.substring(kind, 7, 1), draws)).when(kind == "family", _made_up(norm, F.lit("family"), draws))
         return F.coalesce(names, F.when(kind == "card", _let(changed, card)).when(kind == "ipv4", ip).otherwise(changed))
 
-    mark = F.when(attempt > ATTEMPTS, F.lower(F.conv(F.substring(message, 1, 8), 16, 36))).otherwise("")
+    longer = F.when(F.lower(norm).rlike(r"^[^\p{L}]+$"), F.regexp_replace(message, "[^0-9]", "")).otherwise(F.translate(message, "0123456789", "ghijklmnop"))
+    mark = F.when(attempt > ATTEMPTS, F.substring(longer, F.lit(1), (attempt - ATTEMPTS).cast("int"))).otherwise("")
     return F.concat(_let(_draws(seed, F.greatest(F.char_length(norm), F.lit(32))), drawn), mark)
 
 
@@ -219,19 +231,19 @@ def _mapping(units: DataFrame, key: str) -> DataFrame:
     units = materialize(units, "units")
     n = units.count()
     now = materialize(units.withColumn("attempt", F.lit(0)).withColumn("surrogate", drawn), "units", n)
-    for _ in range(ATTEMPTS + 2):
+    for _ in range(MOST):
         first = Window.partitionBy("kind", "taken_as").orderBy("attempt", "norm")
         known = now.select("kind", F.col("norm").alias("own"))
         whole = F.when(F.col("kind") == "email", F.concat("surrogate", F.regexp_extract("norm", "(@.*)$", 1))).otherwise(F.col("surrogate"))
         placed = now.withColumn("taken_as", whole)
         real = placed.join(known.withColumnRenamed("kind", "own_kind"), (F.col("kind") == F.col("own_kind")) & (F.col("taken_as") == F.col("own")), "left").drop("own_kind")
-        judged = real.withColumn("again", (F.row_number().over(first) > 1) | F.col("own").isNotNull() & (F.col("attempt") <= ATTEMPTS))
+        judged = real.withColumn("again", (F.row_number().over(first) > 1) | F.col("own").isNotNull())
         judged = materialize(judged.select("kind", "norm", "keep", "attempt", "surrogate", "again"), "units", n)
         if judged.filter("again").isEmpty():
             return judged.select("kind", "norm", "surrogate")
         redrawn = judged.filter("again").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", drawn)
         now = materialize(judged.filter("not again").unionByName(redrawn).drop("again"), "units", n)
-    return now.select("kind", "norm", "surrogate")
+    raise RuntimeError(f"surrogates are not distinct after {MOST} attempts")
 
 
 def _poured(kind: Column, raw: Column, surrogate: Column) -> Column:
@@ -258,8 +270,17 @@ def _poured(kind: Column, raw: Column, surrogate: Column) -> Column:
     return F.when(loose, noted).when(kind.startswith("given_") | (kind == "family"), named).when(kind.isin("email", "domain"), by_case).otherwise(surrogate)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
-    """docs with every detected entity in text replaced; under count, if given, how many units were."""
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING. Unset, one is drawn and kept for the session: surrogates then agree within it and with no other."""
+    key = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
+    """docs with every detected entity in text replaced; under count, if given, how many units were. Surrogates hang on key, which is a secret."""
     columns, text = docs.columns, F.col("text")
     number, parts, found = (fresh(docs, f"pii_{n}") for n in ("row", "parts", "found"))
     possible = F.coalesce(_possible(text), F.lit(False))
@@ -290,4 +311,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     if count:
         changed = changed.withColumn(count, F.coalesce(F.size(found), F.lit(0)))
         columns = [*columns, count]
-    return untouched.select(*columns).unionByName(few_files(changed.select(*columns)))
+    return untouched.select(*columns).unionByName(changed.select(*columns))

@@ -28,7 +28,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, count="n_replaced")
+    return pii.pseudonymise(docs, pii.session_key(spark), count="n_replaced")
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ variant meet in an equality join and are verified on all 64 bits. Copies collaps
 before, so groups of exact copies cost nothing.
 
 Within one variant's group the verified links are found in vectorised comparisons, and for groups
-over SMALL members only a spanning forest of them is emitted, which keeps the components. A group of
-over CAP members is never held by a task: its rows are dealt anew by blocks of the bits outside the
+over SMALL members only a spanning forest of them is emitted, which keeps the components. Keys
+that a sample shows to be hot are set apart before the shuffle, and a group of over CAP members is
+never held by a task: its rows are dealt anew by blocks of the bits outside the
 segment (distance + 1 blocks, so one agrees exactly), and what is still over CAP is compared in tiles.
 
 Defined results: null and empty texts, and texts of white space only, have the fingerprint zero and
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstone.llm.common import batches, few_files, fresh, materialize, small_batches
+from layerstone.llm.common import batches, fresh, materialize, small, small_batches
 from layerstone.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -37,8 +38,8 @@ WORDS, DISTANCE, SEED = 4, 4, 42
 SMALL, CAP, TILE = 64, 4096, 1024
 #: Bytes of a text, and hashes, that are worked on at once.
 TEXT_BLOCK, HASH_BLOCK = 1 << 20, 1 << 18
-#: Rows that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: One fingerprint in so many tells which variant keys are hot.
+HOT_SAMPLE = 16
 #: One set in so many tells which shingles are common; shingles in at least COMMON of these, COMMONEST of them at most, are tried last.
 SAMPLE, COMMON, COMMONEST = 8, 3, 200_000
 
@@ -237,29 +238,54 @@ def _by_tiles(rows: DataFrame, tile: int) -> DataFrame:
     return tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, small: int = SMALL, cap: int = CAP, tile: int = TILE) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that differ by at most distance bits; all of them or, in large groups, a spanning forest."""
-    first = materialize(_meet(variants(fps, distance), distance, small, cap), "links")
+def _hot_keys(fps: DataFrame, distance: int, cap: int) -> DataFrame:
+    """hot: keys that, by a sample of the fingerprints, more than cap of them have and that would fill a tenth of a task's share.
+
+    A task's share bounds how many there can be: ten a task. What the sample misses is found in the
+    task that meets it, so nothing but the way depends on it.
+    """
+    n, tasks = fps.count(), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(cap, n * 64 // tasks // 10) / HOT_SAMPLE
+    some = variants(fps.filter(F.pmod(F.xxhash64("fp"), F.lit(HOT_SAMPLE)) == 0), distance)
+    return materialize(some.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > least).select("hot"), "hot", 10 * tasks)
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, small_group: int = SMALL, cap: int = CAP, tile: int = TILE) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that differ by at most distance bits; all of them or, in groups of over small_group, a spanning forest.
+
+    Rows of hot keys are dealt by blocks before any shuffle brings them together.
+    """
+    fps = materialize(fps, "prints")
+    hot = _hot_keys(fps, distance, cap)
+    every = variants(fps, distance)
+    if any_hot := not hot.isEmpty():
+        every = every.join(small(hot), F.col("key") == F.col("hot"), "left")
+        early = materialize(every.filter("hot is not null").select("key", "fp"), "early")
+        every = every.filter("hot is null").select("key", "fp")
+    first = materialize(_meet(every, distance, small_group, cap), "links")
     found = first.filter("a is not null").select("a", "b")
     over = first.filter("a is null").select("key", F.col("b").alias("fp"))
+    over = over.unionByName(early) if any_hot else over
     if not over.isEmpty():
-        second = materialize(_meet(_by_blocks(over, distance), distance, small, cap), "links")
+        second = materialize(_meet(_by_blocks(over, distance), distance, small_group, cap), "links")
         found = found.unionByName(second.filter("a is not null").select("a", "b"))
         still = second.filter("a is null").select("key", F.col("b").alias("fp"))
         if not still.isEmpty():
-            found = found.unionByName(_meet(_by_tiles(still, tile), distance, small, None).select("a", "b"))
+            found = found.unionByName(_meet(_by_tiles(still, tile), distance, small_group, None).select("a", "b"))
     return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) of every row."""
     each = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), distance), each.count())
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = known.join(least, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return few_files(each.join(of, each["fp"] == of["fp_"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    n = each.count()
+    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", n)
+    roots = materialize(components(links(distinct.select("fp"), distance), n), "roots", n)
+    linked = materialize(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "root"), "linked", n)
+    least = materialize(linked.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id")), "least", n)
+    own = linked.join(small(least), F.col("root") == F.col("of")).select(F.col("fp").alias("linked"), "component_id")
+    of = materialize(distinct.join(own, distinct["fp"] == own["linked"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component_id", "first").alias("component_id")), "of", n)
+    return each.join(small(of), each["fp"] == of["fp_"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -365,11 +391,6 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return candidates.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
-def _small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """rows, marked for broadcast only if they are few; rows are materialized, so counting is cheap."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
-
-
 def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, similarity: float = 0.8) -> DataFrame:
     """The rows of docs less all but one of each group of near duplicates: the one with the smallest doc_id stays.
 
@@ -378,6 +399,10 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     that has it, as equal fingerprints do not mean copies; an exact prefix-filter
     join of the sets then finds all others that these do not connect already, so none is missed, nor
     any that the spanning forest of a large variant group leaves out. Only equal sets collapse unseen.
+
+    Defined results: null and empty texts, and texts of white space only, have the empty set, so one of
+    them all stays; of repeated rows, one; a null doc_id counts as the largest, and among equal doc_ids
+    the row that is stored first stays; an empty table gives no rows; other columns are kept as they are.
     """
     names = {n: fresh(docs, f"simhash_{n}") for n in ("row", "fp", "set")}
     row, fp, own = (F.col(names[c]) for c in ("row", "fp", "set"))
@@ -397,29 +422,29 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row.alias("row"), fp.alias("fp"))
     n = held.count()
     distinct = materialize(held.groupBy(own.alias("id")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct", n)
-    texts = held.join(_small(distinct.select(F.col("first.row").alias("wanted"))), row == F.col("wanted"), "left_semi").select(own.alias("id"), F.col("text").cast("string").alias("text"))
+    texts = held.join(small(distinct.select(F.col("first.row").alias("wanted"))), row == F.col("wanted"), "left_semi").select(own.alias("id"), F.col("text").cast("string").alias("text"))
 
     prints = materialize(distinct.groupBy("first.fp").agg(F.min("id").alias("id")), "prints", n)
 
     def verified(candidates: DataFrame) -> DataFrame:
         ends = candidates.select(F.col("a").alias("end")).unionByName(candidates.select(F.col("b").alias("end"))).distinct()
         wanted = materialize(distinct.join(ends, distinct["id"] == ends["end"]).select("end"), "wanted", n)
-        sets = materialize(_shingle_sets(texts.join(_small(wanted), F.col("id") == F.col("end"), "left_semi"), words), "shingles")
+        sets = materialize(_shingle_sets(texts.join(small(wanted), F.col("id") == F.col("end"), "left_semi"), words), "shingles")
         return materialize(_similar(candidates, sets, similarity), "verified", n)
 
     def rooted(found: DataFrame) -> DataFrame:
         roots = materialize(components(found, n), "roots", n)
-        return distinct.join(_small(roots), distinct["id"] == roots["node"], "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
+        return distinct.join(small(roots), distinct["id"] == roots["node"], "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
 
     one, other = (prints.select(F.col("fp").alias(f"{c}_fp"), F.col("id").alias(c)) for c in ("a", "b"))
     near = links(prints.select("fp"), distance).distinct().select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
     found = verified(materialize(near.join(one, "a_fp").join(other, "b_fp").select("a", "b"), "candidates", n))
     known = materialize(rooted(found).select(F.col("id").alias("of"), "root"), "known", n)
     index = _prefixes(texts, words, similarity, _common_shingles(texts, words))
-    index = index.join(_small(known), F.col("id") == F.col("of"))
+    index = index.join(small(known), F.col("id") == F.col("of"))
     found = found.unionByName(verified(materialize(_set_links(index, similarity).distinct(), "candidates", n)))
     known = rooted(found)
     firsts = known.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).filter("members > 1")
     groups = materialize(known.join(firsts, "root").select(F.col("id").alias("group"), F.col("stays.row").alias("stays")), "groups", n)
-    joined = held.join(_small(groups), own == F.col("group"), "left")
-    return few_files(joined.filter(F.col("stays").isNull() | (F.col("stays") == row)).select(*columns))
+    joined = held.join(small(groups), own == F.col("group"), "left")
+    return joined.filter(F.col("stays").isNull() | (F.col("stays") == row)).select(*columns)

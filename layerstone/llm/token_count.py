@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import TOKENIZER_DIR, batches, small_batches
+from layerstone.llm.common import batches, small_batches, tokenizer_file
 
 #: Texts of more characters than this are cut into chunks of this many.
 CHUNK_CHARS = 1 << 15
@@ -120,8 +120,9 @@ def splice(model: PieceModel, text: str, left: tuple[int, int, list[int]], right
     return None
 
 
-def count_tokens(docs: DataFrame, model_path: str = f"{TOKENIZER_DIR}/piece_bpe_32k.model", limit: int = TOKEN_LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than limit tokens). One pass, no shuffle."""
+def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = TOKEN_LIMIT, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than limit tokens), by the public piece model unless model_path names another. One pass, no shuffle."""
+    model_path = model_path or tokenizer_file("piece_bpe_32k.model")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)

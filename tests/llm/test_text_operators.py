@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from layerstone.llm import byte_bpe, html_text, language_id, mixing, pii, quality, queries, simhash, token_count
-from layerstone.llm.common import TOKENIZER_DIR, word_count
+from layerstone.llm.common import tokenizer_file, word_count
 from layerstone.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,7 +153,7 @@ def test_similar_texts_with_distant_fingerprints_go(spark):
 
 def test_pairs_that_a_forest_of_links_hides_go(spark, monkeypatch):
     def hidden(fps, distance):
-        return links(fps, distance, small=1).filter(~F.col("a").isin(*lost) | ~F.col("b").isin(*lost))
+        return links(fps, distance, small_group=1).filter(~F.col("a").isin(*lost) | ~F.col("b").isin(*lost))
 
     links, rng = simhash.links, random.Random(6)
     words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -186,6 +186,48 @@ def test_language_accuracy_on_held_out_documents(spark, data):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
 
 
+def test_languages_equal_plain_compression(spark, real):
+    """Dictionaries and choices again in plain Python; only the sample of rows to learn from is taken over."""
+    import zstandard
+
+    train = real.filter("crc32(cast(doc_id as string)) % 3 != 1 and lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = train.collect()
+    picked = language_id.sample(train, rows=6).collect()
+    for lang in {r["lang"] for r in rows}:
+        here = [r for r in picked if r["lang"] == lang]
+        assert len(here) == min(6, len({(r["doc_id"], r["text"]) for r in rows if r["lang"] == lang})) and {r["rows_in"] for r in here} == {sum(r["lang"] == lang for r in rows)}
+        assert all(any(x["text"] == r["text"] and x["lang"] == lang for x in rows) for r in here)
+    clean = lambda t: " ".join("".join(c if c.isalpha() or __import__("unicodedata").category(c)[0] == "M" else " " for c in t.lower()).split()).encode()
+    lines = {}
+    for r in sorted(picked, key=lambda r: r["rank"]):
+        lines.setdefault(r["lang"], []).extend(x for x in map(clean, r["text"].split("\n")) if x)
+    shared = {x for a in lines for b in lines if a != b for x in set(lines[a]) & set(lines[b])}
+    books = {lang: b" ".join(x for x in some if x not in shared)[: language_id.DICTIONARY_BYTES] for lang, some in lines.items()}
+    learned = language_id.dictionaries(train, rows=6)
+    assert dict(learned) == books
+    got = {r["doc_id"]: r for r in language_id.classify(real, learned).collect()}
+    for r in real.collect():
+        text = clean(r["text"] or "")
+        if not text:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        sizes = {}
+        for lang, book in learned:
+            dictionary = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False, write_checksum=False).compress(text))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[r["doc_id"]]["lang_pred"]] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx((second - best) / second)
+        assert got[r["doc_id"]]["rejected"] == ((second - best) / second < language_id.MIN_MARGIN)
+
+
+def test_learning_holds_a_bounded_sample(spark):
+    rows = [(7, "one row many times", "en", "a")] * 400 + [(i, "lang " * 30000, "fr", "a") for i in range(5)] + [(50 + i, f"mot {i}", "fr", "a") for i in range(9)]
+    train = documents(spark, rows).select("doc_id", "text", "lang")
+    assert sorted((r["lang"], r["text"][:8], r["rows_in"]) for r in language_id.sample(train, rows=4).collect())[0] == ("en", "one row ", 400)
+    assert language_id.sample(train, rows=4).count() == 5
+
+
 def test_language_awkward(spark):
     rows = [*AWKWARD, (7, "123 !!! ½", "en", "a"), (8, "日本語", None, "a"), (9, "words to learn from", "en", "a")]
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(documents(spark, rows)).collect()}
@@ -239,16 +281,44 @@ def test_perplexity_equals_the_definition(spark, real):
     rows = [(r["doc_id"], (r["text"] or "")[:400]) for r in real.limit(40).collect()] + [(900, "日本 🙂 text"), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     trusted = [t for d, t in rows if d % 2 == 0 and t][:15]
-    table = quality.model(spark.createDataFrame([(t,) for t in trusted], "text string"), docs)
+    table = quality.model(spark.createDataFrame([(t,) for t in trusted], "text string"))
     plain = plain_model(trusted)
-    for shard in (10**6, 500):
-        got = {r["doc_id"]: r["perplexity"] for r in quality.scored(docs, table, ["doc_id"], shard=shard).collect()}
+    for most in (10**6, 0):  # in memory, and by sharded joins
+        got = {r["doc_id"]: r["perplexity"] for r in quality.scored(docs, table, ["doc_id"], model_rows=most).collect()}
         assert got[901] is None
         for d, t in rows:
             if t:
                 assert got[d] == pytest.approx(plain(t), rel=1e-4)
 
 
+def test_thresholds_and_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.choice((5, 40, 120)))), rng.choice(("xx", "yy", "zz", None)), "s") for i in range(300)]
+    rows += [(i, "#### 1234 !!!! 99" * 9, "yy", "s") for i in range(300, 306)]
+    trusted = {i for i in range(300) if i % 3}
+    labels = spark.createDataFrame([(i, 1 if i in trusted else 0, 0) for i in range(306)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.classify(documents(spark, rows), labels).collect()}
+    language = {i: lang or "" for i, _, lang, _ in rows}
+    band = {i: sum(len(t) >= b for b in quality.BANDS) for i, t, _, _ in rows}
+
+    def quantile(of):
+        found = sorted(out[i]["perplexity"] for i in of)
+        return math.log(found[math.ceil(quality.QUANTILE * len(found)) - 1]), len(found)
+
+    def drawn(of, wider):
+        own, n = quantile(of) if of else (0.0, 0)
+        return (own * n + wider * quality.WEIGHT) / (n + quality.WEIGHT)
+
+    for i, r in out.items():
+        alike = [j for j in trusted if language[j] == language[i]]
+        wider = drawn(alike, quantile(trusted)[0])
+        want = math.exp(drawn([j for j in alike if band[j] == band[i]], wider)) * quality.MARGIN
+        assert r["threshold"] == pytest.approx(want, rel=1e-6)
+        assert r["rejected"] == (r["perplexity"] > r["threshold"])
+    assert all(out[i]["rejected"] for i in range(300, 306))
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark, data):
     base = f"{data.rsplit('/', 1)[0]}/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
@@ -366,7 +436,7 @@ PRIVATE = ["bosbt.42@mail8.example.com", "+1 (434) 555-2368", "4753376719988201"
 
 def replaced(spark, texts):
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
-    return [r["text"] for r in pii.pseudonymise(documents(spark, rows)).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.pseudonymise(documents(spark, rows), "k").orderBy("doc_id").collect()]
 
 
 def test_surrogates_are_consistent_and_private(spark):
@@ -413,22 +483,62 @@ def test_distinct_entities_stay_distinct(spark):
     units = spark.createDataFrame([("secret", f"{i:06}", 4) for i in range(60)], "kind string, norm string, keep int")
     drawn = pii._mapping(units, "k").collect()  # 60 of only 100 possible surrogates, so many collide at first
     assert len({r["surrogate"] for r in drawn}) == 60
+    crowded = spark.createDataFrame([("secret", f"7{i}", 1) for i in range(10)] + [("secret", f"{i}", 0) for i in range(10)], "kind string, norm string, keep int")
+    drawn = pii._mapping(crowded, "k").collect()  # no digit is left over, so one place is not enough
+    assert len({r["surrogate"] for r in drawn}) == 20 and not {r["surrogate"] for r in drawn} & {r["norm"] for r in drawn}
+
+
+def test_mapping_equals_a_plain_model(spark):
+    """Attempts follow the rule: of equal surrogates the lower attempt, then the smaller unit stays; no surrogate is a unit of the corpus."""
+    norms = [f"{i:03}" for i in range(0, 700, 7)]
+    units = spark.createDataFrame([("secret", n, 0) for n in norms], "kind string, norm string, keep int")
+    tries = spark.createDataFrame([("secret", n, 0, a) for n in norms for a in range(25)], "kind string, norm string, keep int, attempt int")
+    drawn = {(r["norm"], r["attempt"]): r["s"] for r in tries.select("norm", "attempt", pii._surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.col("keep"), F.col("attempt"), "k").alias("s")).collect()}
+    attempt = dict.fromkeys(norms, 0)
+    while True:
+        by_value = {}
+        for n in norms:
+            by_value.setdefault(drawn[n, attempt[n]], []).append(n)
+        again = [n for v, some in by_value.items() for k, n in enumerate(sorted(some, key=lambda n: (attempt[n], n))) if k or v in norms]
+        if not again:
+            break
+        for n in again:
+            attempt[n] += 1
+    assert {r["norm"]: r["surrogate"] for r in pii._mapping(units, "k").collect()} == {n: drawn[n, attempt[n]] for n in norms}
+    assert max(attempt.values()) > 0
+
+
+def test_recall_and_precision_on_labelled_text(spark):
+    rng = random.Random(13)
+    said = ["Call 030 1234567 now", "tel. 06 12 34 56 78", "fax 0171/5551234", "móvil 612 345 678", "my name is Ada Byron.", "ich heiße Max Muster", "Me llamo Ana Ruiz", "Regards,\nJo March", "Dr. Paul Weiss", "Frau Lena Meier", "x@y.example.org", "10.20.30.40", "ssn 123-45-6789", "password: hunter2x"]
+    clean = ["In 2019 0.5 of 300 000 people", "pages 12-34 and 100 200", "The Name of the Rose", "Regards to all", "I am Sure about it", "ISBN 978-3-16-148410-0", "at 10:30 on 01.02.2003", "chapter 0 12 1", "version 10.4.2", "price 1.234.567,89", "Max Muster said so", "x = 3; y := 4", "call me", "Me llamo así"]
+    words = lambda: " ".join(rng.choice(["la", "the", "von", "und", "mit"]) for _ in range(5))
+    texts = [f"{words()} {s} {words()}" for s in [*said, *clean] for _ in range(3)]
+    changed = [a != b for a, b in zip(texts, replaced(spark, texts))]
+    n = len(said) * 3
+    assert all(changed[:n]) and not any(changed[n:])
+
+
+def test_session_key_is_drawn_once(spark):
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
+    one, other = (pii.pseudonymise(documents(spark, [(1, "at 10.20.30.40", "en", "a")]), k).first()["text"] for k in ("a", "b"))
+    assert one != other
 
 
 def test_surrogates_leave_other_text_alone(spark):
     texts = ["version 2.0 of 3.14159, 1.2.3.4.5", "CC BY-NC 4.0.", "", None, "Mr nobody, no one @ all", "12345 and 555-1234", "\x01 odd \x02 1", "a" * 200000 + " 7"]
     assert replaced(spark, texts) == texts
     docs = documents(spark, AWKWARD)
-    out = pii.pseudonymise(docs, count="n")
+    out = pii.pseudonymise(docs, "k", count="n")
     assert out.columns == [*docs.columns, "n"] and out.count() == len(AWKWARD)
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
 # --- tokens
 
 
 def test_token_counts_equal_the_library(spark, real):
-    model = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZER_DIR}/piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     rows = [(r["doc_id"], r["text"]) for r in real.collect()] + [(9000, None), (9001, ""), (9002, "<s> a ▁b \n\t 日本🙂 " * 900), (9003, "x" * 5000)]
     for chunk, overlap in ((1 << 15, 256), (97, 11)):
         out = token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk, overlap=overlap).collect()
@@ -438,8 +548,24 @@ def test_token_counts_equal_the_library(spark, real):
             assert got[d]["over_limit"] == (got[d]["n_tokens"] > 4096)
 
 
+def test_tokens_awkward(spark, monkeypatch):
+    docs = documents(spark, AWKWARD).withColumn("n_tokens", F.lit("clash")).withColumn("ids", F.lit(1))
+    counted = token_count.count_tokens(docs, chunk=1000).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    assert sorted((r["n_bytes"], r["n_tokens"]) for r in counted) == sorted((len((t or "").encode()), len(model.encode(t or ""))) for _, t, _, _ in AWKWARD)
+    assert {r["doc_id"] for r in counted} == {d for d, *_ in AWKWARD}
+    assert token_count.count_tokens(docs.limit(0)).count() == 0
+    long = "word " * (byte_bpe.PIECE // 4) + "日本。語 " * 9  # over PIECE characters
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=byte_bpe.read_ranks(byte_bpe.rank_file(None)), special_tokens={})
+    rows = [*AWKWARD, (70, long, "en", "a")]
+    out = byte_bpe.digests(documents(spark, rows).withColumn("ids", F.lit(1))).collect()
+    want = sorted((-1 if d is None else d, len(plain.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, _, _ in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in out) == want
+    assert byte_bpe.digests(docs.limit(0)).count() == 0 and byte_bpe.decode(byte_bpe.encode(docs.limit(0))).count() == 0
+
+
 def test_overlaps_widen_until_they_align():
-    model, widened = token_count.load(f"{TOKENIZER_DIR}/piece_bpe_32k.model"), []
+    model, widened = token_count.load(tokenizer_file("piece_bpe_32k.model")), []
     assert model.stable_at_marks
     rng = random.Random(8)
     for _ in range(200):
@@ -449,8 +575,8 @@ def test_overlaps_widen_until_they_align():
 
 
 def test_byte_bpe_equals_the_library_and_round_trips(spark, real):
-    ranks = byte_bpe.read_ranks(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
-    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = byte_bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=ranks, special_tokens={})
     rows = [(r["doc_id"], r["text"]) for r in real.collect()] + [(9000, None), (9001, ""), (9002, "<|endoftext|> 　\x85 I'll ½ 👍🏽 \r\n\n  x"), (None, "null id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in byte_bpe.digests(docs, with_ids=True).collect()}
@@ -466,7 +592,7 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, real):
 
 
 def test_long_texts_are_cut_where_matches_meet(real):
-    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.PATTERN, mergeable_ranks=byte_bpe.read_ranks(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"), special_tokens={})
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=byte_bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), special_tokens={})
     rng = random.Random(9)
     for _ in range(300):
         text = "".join(rng.choice(["the", " ", "  ", "\n", "\r\n", "I'll", "é", "日本。語", "x1 y", ". ", "!a", "\u3000", "can't go"]) for _ in range(80))
