@@ -26,7 +26,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Personal data and secrets are replaced in the texts, whose length column follows."""
     from pyspark.sql import functions as F
 
-    changed = pii.pseudonymise(docs)
+    changed = pii.pseudonymise(docs, pii.session_key(spark))
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 
 
