@@ -1,25 +1,31 @@
 """Main text of web pages by wrapper induction (operator 4).
 
-Pages of a host share a wrapper. One page of each host, the one with the smallest hash, is its pivot;
-every page's tree of block elements is aligned with the pivot's by simple tree matching, which maps
-nodes to slots. Over all pages of the host, a slot whose text is the same on nearly all of them is
-template, and slots that vary are content. What varies but is no article (menus, adverts, footers and
-the like, which differ from page to page too) is told by element, role, class and id.
-
-Counting goes over every page: each task adds up (host, slot, text hash) before the shuffle, so a
-host with a third of all pages is no heavier than its share. Pivots and templates are a page and a
-short list a host; they are broadcast only if small and joined otherwise, where adaptive execution
-splits a skewed host.
+Pages of a host that use the same containers share a layout, and with it a wrapper. One page of each
+layout, the one with the smallest hash, is its pivot; a layout of fewer than LEAST pages is read with
+its host's commonest one. Every page's tree of block elements is aligned with the pivot's by simple
+tree matching, which maps nodes to slots. Over all pages of the layout, a slot whose text is the same
+on nearly all of them is template, and slots that vary are content. The region of the article is the
+smallest container that holds most of the varying prose; it is found on the pivot, for the whole
+layout, from slots alone, and a page's article is what it has there, and its varying title before it.
+
+Elements, roles and names of classes break ties: they tell what stands inside the region and varies
+but is no article (menus, adverts, forms, reader comments), and where the article is on a page that
+shows nothing in its wrapper's region.
+
+Counting goes over every page: each task adds up (layout, slot, text hash) before the shuffle, so a
+host with a third of all pages is no heavier than its share. Pivots and slots are a page and a list a
+layout; they are broadcast only if small and joined otherwise, where adaptive execution splits a
+skewed host.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones left out, the others joined in page order by a line feed. A line break element
 is white space.
 
 Defined results: null and empty html give an empty text; a null or relative url belongs to the host
-''; a page all of whose blocks are template (copies of one page) keeps them; repeated rows give
-repeated results and each counts; an empty table gives no rows; extra columns are ignored. Elements
-may be nested to any depth. Child lists of which too many pairs would have to be compared (over
-CELLS) are aligned by label in order.
+''; a page all of whose region is template (copies of one page) keeps it; repeated rows give repeated
+results, and each counts, but a text is template only if pages that differ show it; an empty table
+gives no rows; extra columns are ignored. Elements may be nested to any depth. Matching two lists of
+n and m children that differ takes n * m steps and n * m / 4 bytes.
 """
 
 from __future__ import annotations
@@ -29,31 +35,38 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import batches, materialize, small_batches
+from layerstone.llm.common import batches, materialize, small, small_batches
 
-#: A slot is template if at least CONSTANT of at least PAGES aligned pages show the same text in it.
-CONSTANT, PAGES = 0.9, 10
-CELLS, MEMO = 250_000, 200_000
-BROADCAST_BYTES = 16 << 20
+#: A slot is template if at least CONSTANT of its pages show the same text in it, LEAST of them at least.
+CONSTANT, LEAST = 0.9, 3
+#: The region is a container with so much of the varying prose; its parent, if that has more than DIRECT of it in paragraphs of its own.
+REGION, DIRECT = 0.75, 0.02
+#: Shapes and scores that a task remembers, and pivots; bytes of pivots that are broadcast.
+MEMO, PIVOTS, BROADCAST_BYTES = 200_000, 2000, 16 << 20
 
 # Elements, and words of class and id, by what they are for.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = HEADINGS | set("html body article section main nav header footer aside div p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address form fieldset details summary center hgroup menu dialog search".split())
-NOT_TEXT = set("head nav footer aside form button select option svg canvas object audio video template dialog menu search math map label fieldset datalist".split()) | RAW
+NOT_TEXT = set("head nav footer aside form button select option object audio video template dialog menu datalist".split()) | RAW
+CONTAINERS = set("# html body main article section div center td".split())
+PROSE = set("p ul ol dl pre blockquote table figure".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 NOT_ARTICLE = set(
-    "ad ads advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion promoted sidebar widget menu nav navbar navigation navi breadcrumb breadcrumbs "
-    "masthead footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup "
-    "login share sharing social related recommended recommendations trending pagination pager skip search toolbar copyright disclaimer".split()
+    "ad ads advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion promoted sidebar menu nav navbar navigation navi breadcrumb breadcrumbs "
+    "masthead footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr newsletter subscribe subscription signup login pagination pager toolbar".split()
 )
+#: Words that name a container of that kind, but on a paragraph may as well be the article's.
+DOUBTFUL = set("notice notices alert popup modal overlay lightbox widget share sharing social related recommended recommendations trending skip search copyright disclaimer".split())
 #: How compound words begin that mean the same; "commentary" is an article's.
-STEMS = ("advert", "adsense", "sponsor", "sidebar", "navbar", "navlink", "navlist", "navmenu", "navigation", "menubar", "breadcrumb", "footer", "commentlist", "commentform", "commentsection", "disqus", "cookie", "newsletter", "subscri", "popup", "related", "recommend", "pagination", "socialshar", "sharebar", "sharebutton")
+STEMS = ("advert", "adsense", "sponsor", "sidebar", "navbar", "navlink", "navlist", "navmenu", "navigation", "menubar", "breadcrumb", "footer", "commentlist", "commentform", "commentsection", "disqus", "cookie", "newsletter", "subscri", "pagination")
+DOUBTFUL_STEMS = ("popup", "related", "recommend", "socialshar", "sharebar", "sharebutton")
 HEADER_WORDS = {"header", "topbar"}
 #: Start tags before which an open element of these names ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -90,6 +103,8 @@ def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, bool
     words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")} if attrs else set()
     if tag in NOT_TEXT or attrs.get("role", "").lower() in ROLES or words & NOT_ARTICLE or any(w.startswith(STEMS) for w in words):
         return True, False
+    if tag not in HEADINGS and tag not in PROSE - {"ul", "ol", "dl"} and (words & DOUBTFUL or any(w.startswith(DOUBTFUL_STEMS) for w in words)):
+        return True, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True, False
     if tag == "header" or words & HEADER_WORDS:
@@ -172,7 +187,7 @@ def parse(page: str) -> Node:
         node = None
         if tag in BLOCKS or junk:
             mark = attrs.get("class", "").split()
-            node = Node(tag, f"{tag}.{mark[0]}" if mark else tag, junk, tag not in BLOCKS, headings)
+            node = Node(tag, f"{tag}.{mark[0].rstrip('0123456789')}" if mark else tag, junk, tag not in BLOCKS, headings)
             if attrs.get("role", "").lower() == "main":
                 node.tag = "main"
             now.items.append(node)
@@ -235,8 +250,7 @@ class Shapes:
         while got is None and todo:
             x, y = (self.trees[t][1:] for t in todo[-1])
             low, n, m = self.unlike(x, y)
-            cells = ((i, j) for i in x[low : low + n] for j in y[low : low + m]) if n * m <= CELLS else ((x[i], y[j]) for i, j in self.pairs(x, y))
-            if first := [c for c in cells if self.known(*c) is None]:
+            if first := [(i, j) for i in set(x[low : low + n]) for j in set(y[low : low + m]) if self.known(i, j) is None]:
                 todo += first
             else:
                 self.scores[todo.pop()] = 1 + sum(self.known(x[i], y[j]) for i, j in self.pairs(x, y))
@@ -259,38 +273,26 @@ class Shapes:
         return [*((i, i) for i in range(low)), *((low + i, low + j) for i, j in middle), *((len(xs) - k, len(ys) - k) for k in range(len(xs) - low - n, 0, -1))]
 
     def programme(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
-        if len(xs) * len(ys) > CELLS:
-            return self.in_order(xs, ys)
-        best = [[0] * (len(ys) + 1)]
+        kinds, at = np.unique(ys, return_inverse=True)
+        rows = {x: np.array([self.score(x, y) for y in kinds.tolist()], np.int64)[at] for x in set(xs)}
+        above, up, left = np.zeros(len(ys) + 1, np.int64), [], []
         for x in xs:
-            above, row = best[-1], [0]
-            for j, y in enumerate(ys):
-                row.append(max(above[j + 1], row[j], above[j] + self.score(x, y)))
-            best.append(row)
+            row = np.concatenate(([0], np.maximum.accumulate(np.maximum(above[1:], above[:-1] + rows[x]))))
+            up.append(np.packbits(row[1:] == above[1:]))
+            left.append(np.packbits(row[1:] == row[:-1]))
+            above = row
+        bit = lambda bits, j: bits[j >> 3] >> (7 - (j & 7)) & 1
         found, i, j = [], len(xs), len(ys)
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            if bit(up[i - 1], j - 1):
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif bit(left[i - 1], j - 1):
                 j -= 1
             else:
                 i, j = i - 1, j - 1
                 found.append((i, j))
         return found[::-1]
 
-    def in_order(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
-        found, j = [], 0
-        places: dict[str, list[int]] = {}
-        for k, y in enumerate(ys):
-            places.setdefault(self.trees[y][0], []).append(k)
-        for i, x in enumerate(xs):
-            k = next((k for k in places.get(self.trees[x][0], ()) if k >= j), None)
-            if k is not None:
-                found.append((i, k))
-                places[self.trees[x][0]] = [q for q in places[self.trees[x][0]] if q > k]
-                j = k + 1
-        return found
-
     def align(self, page: Node, pivot: Node) -> None:
         """Give every matched node of page the slot of its node of pivot."""
         open_pairs = [(page, pivot)]
@@ -301,26 +303,70 @@ class Shapes:
                 open_pairs += [(a.children[i], b.children[j]) for i, j in self.pairs(tuple(c.shape for c in a.children), tuple(c.shape for c in b.children))]
 
 
+class Wrapper:
+    """A layout's pivot with slots numbered in page order, its template, and where its article is."""
+
+    def __init__(self, pivot: str, slots: list[dict] | None, shapes: Shapes):
+        self.tree = parse(pivot)
+        shapes.number(self.tree)
+        for slot, node in enumerate(_nodes(self.tree)):
+            node.slot = slot
+        self.template = {x["slot"]: x["text"] for x in slots or () if x["text"] is not None}
+        prose = {x["slot"]: x["prose"] for x in slots or ()}
+        if not slots:
+            self.region, self.titles = -1, set()
+            return
+        weights = [(0 if n.slot in self.template else prose.get(n.slot, 0)) + prose.get(-1 - n.slot, 0) for n in _nodes(self.tree)]
+        found = region(self.tree, weights)
+        self.region = found.slot if found is not None else -1
+        self.titles = {n.slot for n in _nodes(self.tree) if n.tag == "h1" and n.slot in prose and n.slot not in self.template}
+
+
 class Wrappers:
-    """Parsed pivots by host, with slots numbered in page order."""
+    """Wrappers by layout; all share what is known of shapes."""
 
     def __init__(self) -> None:
-        self.pivots: dict[str, Node] = {}
+        self.known: dict[tuple, Wrapper] = {}
         self.shapes = Shapes()
 
-    def aligned(self, page: str | None, host: str, pivot: str | None) -> Node:
-        if len(self.shapes.numbers) + len(self.shapes.scores) > MEMO or len(self.pivots) > 2000:
+    def aligned(self, page: str | None, key: tuple, pivot: str | None, slots: list[dict] | None = None) -> tuple[Node, Wrapper]:
+        if len(self.shapes.numbers) + len(self.shapes.scores) > MEMO or len(self.known) > PIVOTS:
             self.__init__()
-        if host not in self.pivots:
-            tree = parse(pivot or "")
-            self.shapes.number(tree)
-            for slot, node in enumerate(_nodes(tree)):
-                node.slot = slot
-            self.pivots[host] = tree
+        if key not in self.known:
+            self.known[key] = Wrapper(pivot or "", slots, self.shapes)
         tree = parse(page or "")
         self.shapes.number(tree)
-        self.shapes.align(tree, self.pivots[host])
-        return tree
+        self.shapes.align(tree, self.known[key].tree)
+        return tree, self.known[key]
+
+
+def own_prose(node: Node) -> int:
+    """Characters of the node's own text that are in no link."""
+    return max(0, sum(len(t) for t in runs(node)) - node.linked)
+
+
+def region(tree: Node, weights: list[int]) -> Node | None:
+    """The smallest container with REGION of all weight, given by node in page order; None without any.
+
+    It is entered only where its parent has next to no weight in paragraphs of its own, so that an
+    article in which one part outweighs the rest stays whole; an article element is never divided.
+    """
+    nodes = list(_nodes(tree))
+    total = dict(zip(map(id, nodes), weights))
+    own = dict(total)
+    for node in reversed(nodes):
+        total[id(node)] = 0 if node.junk else total[id(node)] + sum(total[id(c)] for c in node.children)
+    everything, now = total[id(tree)], tree
+    if not everything:
+        return None
+    while now.tag != "article":
+        inside = [c for c in now.children if c.tag in CONTAINERS and any(not x.inline for x in c.children)]
+        largest = max(inside, key=lambda c: total[id(c)], default=None)
+        direct = own[id(now)] + sum(total[id(c)] for c in now.children if c.tag in PROSE)
+        if largest is None or total[id(largest)] < REGION * everything or direct > DIRECT * everything:
+            break
+        now = largest
+    return now
 
 
 def _nodes(tree: Node) -> Iterator[Node]:
@@ -349,8 +395,8 @@ def _length(node: Node, junk: bool = False) -> int:
     return total
 
 
-def _roots(tree: Node) -> tuple[list[Node], bool]:
-    """Where the article is, and whether the page says so: its longest article, its main parts, or all of it."""
+def _told(tree: Node) -> list[Node]:
+    """Where a page itself says that its article is: its article elements, or its main parts."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     rest = [tree]
     while rest:
@@ -361,14 +407,39 @@ def _roots(tree: Node) -> tuple[list[Node], bool]:
             found[node.tag].append(node)
         if node.tag != "article":
             rest.extend(reversed(node.children))
-    if found["article"]:
-        return [max(found["article"], key=_length)], True
-    return (found["main"][:1], True) if found["main"] else ([tree], False)
+    return found["article"] or found["main"]
+
+
+def roots(tree: Node, wrapper: Wrapper | None = None) -> tuple[list[Node], str]:
+    """The parts of a page that are its article, in page order, and what told: "slots" of its wrapper or the "page" itself."""
+    if wrapper is not None and wrapper.region >= 0:
+        found: list[Node] = []
+        for node in _open_nodes(tree):
+            if node.slot == wrapper.region:
+                return [*found, node], "slots"
+            if node.slot in wrapper.titles:
+                found.append(node)
+    if told := _told(tree):
+        return told, "page"
+    found_here = region(tree, [own_prose(n) for n in _nodes(tree)])
+    return [found_here or tree], "page"
+
+
+def _open_nodes(tree: Node) -> Iterator[Node]:
+    """The nodes of a page in order, less all that is no article."""
+    rest = [tree]
+    while rest:
+        node = rest.pop()
+        if not node.junk:
+            yield node
+            rest.extend(reversed(node.children))
 
 
-def main_text(tree: Node, template: dict[int, int]) -> str:
-    """The blocks of the article that are not template, one a line."""
-    roots, told = _roots(tree)
+def main_text(tree: Node, wrapper: Wrapper | None = None) -> tuple[str, str]:
+    """The blocks of the article that are not template, one a line, and what told where it is."""
+    parts, told = roots(tree, wrapper)
+    template = wrapper.template if wrapper is not None else {}
+    menus = told == "page" and not _told(tree)
     kept: list[str] = []
     every: list[str] = []
 
@@ -379,7 +450,7 @@ def main_text(tree: Node, template: dict[int, int]) -> str:
         headings_only = (headings_only or node.headings_only) and node.tag not in HEADINGS
         own = iter(runs_between(node))
         constant = node.slot in template and (texts := runs(node)) and template[node.slot] == _digest(texts)
-        menu = not told and node.tag not in HEADINGS and node.linked * 2 > sum(len(i) for i in node.items if isinstance(i, str) and not i.isspace())
+        menu = menus and node.tag in ("li", "dd", "dt") and node.linked * 5 > 4 * sum(len(i) for i in node.items if isinstance(i, str) and not i.isspace()) > 0
 
         def add(block: str) -> None:
             if block and not headings_only and not menu:
@@ -395,14 +466,14 @@ def main_text(tree: Node, template: dict[int, int]) -> str:
             elif not isinstance(item, str) and not item.junk:
                 yield item, headings_only
 
-    for root in roots:
+    for root in parts:
         walk = [visit(root, False)]
         while walk:
             if (inner := next(walk[-1], None)) is None:
                 walk.pop()
             else:
                 walk.append(visit(*inner))
-    return "\n".join(kept or every)
+    return "\n".join(kept or every), told
 
 
 def runs_between(node: Node) -> list[str]:
@@ -416,51 +487,104 @@ def runs_between(node: Node) -> list[str]:
     return [" ".join("".join(r).split()) for r in found]
 
 
+KEY = ["host", "layout"]
+
+
 def _slot_counts(pages: DataFrame) -> DataFrame:
-    """host, slot, text (hash), n over aligned pages, added up batch by batch."""
+    """host, layout, slot, text (hash), n, prose, first and last page (hashes), pages (bits of hashes) over aligned pages, added up batch by batch.
+
+    Text of nodes that the pivot lacks counts as prose of the slot around them, under -1 - slot.
+    """
+    fields = "host string, layout long, slot int, text long, n long, prose long, first long, last long, pages long"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = Wrappers()
         for whole in parts:
-            found: Counter[tuple[str, int, int]] = Counter()
-            for part in batches(whole, column=1):
-                for host, page, pivot in zip(*(c.to_pylist() for c in part.columns[:3])):
-                    for node in _nodes(wrappers.aligned(page, host, pivot)):
-                        if node.slot >= 0 and not node.junk and (texts := runs(node)):
-                            found[host, node.slot, _digest(texts)] += 1
-            hosts, slots, texts = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(texts, pa.int64()), pa.array(found.values(), pa.int64())], names=["host", "slot", "text", "n"])
+            found: dict[tuple, list[int]] = {}
+            for part in batches(whole, column=2):
+                for host, layout, page, pivot in zip(*(c.to_pylist() for c in part.columns[:4])):
+                    tree, _ = wrappers.aligned(page, (host, layout), pivot)
+                    mark = _digest([page or ""])
+                    for slot, text, prose in slot_texts(tree):
+                        x = found.setdefault((host, layout, slot, text), [0, 0, mark, mark, 0])
+                        x[0] += 1
+                        x[1] += prose
+                        x[2], x[3], x[4] = min(x[2], mark), max(x[3], mark), x[4] | 1 << mark % 63
+            names = [f.split()[0] for f in fields.split(", ")]
+            columns = list(zip(*(k + tuple(x) for k, x in found.items()))) or [()] * len(names)
+            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return small_batches(pages).select(*KEY, "html", "pivot").mapInArrow(run, fields)
+
+
+def slot_texts(tree: Node) -> Iterator[tuple[int, int, int]]:
+    """slot, text (hash), characters of prose of every node with text in an aligned page, less what is no article."""
+    rest = [(tree, tree.slot)]
+    while rest:
+        node, around = rest.pop()
+        if node.junk:
+            continue
+        if texts := runs(node):
+            if node.slot >= 0:
+                yield node.slot, _digest(texts), own_prose(node)
+            elif around >= 0:
+                yield -1 - around, 0, own_prose(node)
+        inner = node.slot if node.slot >= 0 else around
+        rest.extend((c, inner) for c in node.children)
+
 
-    return small_batches(pages).select("host", "html", "pivot").mapInArrow(run, "host string, slot int, text long, n long")
+def _wrapper_slots(counts: DataFrame, constant: float) -> DataFrame:
+    """host, layout, slots: of every slot with text its prose, and its text (hash) if that is template."""
+    by_text = counts.groupBy(*KEY, "slot", "text").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"), F.min("first").alias("first"), F.max("last").alias("last"), F.bit_or("pages").alias("pages"))
+    most = lambda c: F.max_by(c, "n").alias(c)
+    slots = by_text.groupBy(*KEY, "slot").agg(F.sum("n").alias("shown"), F.max("n").alias("n"), most("text"), most("first"), most("last"), most("pages"), F.bit_or("pages").alias("every"), F.sum("prose").alias("prose"))
+    differ = (F.col("first") != F.col("last")) & (F.bit_count("pages") >= constant * F.bit_count("every"))
+    fixed = (F.col("slot") >= 0) & (F.col("shown") >= LEAST) & (F.col("n") >= constant * F.col("shown")) & differ
+    return slots.groupBy(*KEY).agg(F.collect_list(F.struct("slot", F.when(fixed, F.col("text")).alias("text"), "prose")).alias("slots"))
 
 
 def _texts(pages: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = Wrappers()
         for whole in parts:
-            for part in batches(whole, column=1):
-                host, page, pivot, template = (c.to_pylist() for c in part.columns[:4])
-                texts = [main_text(wrappers.aligned(p, h, v), {x["slot"]: x["text"] for x in t or ()}) for h, p, v, t in zip(host, page, pivot, template)]
-                yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for part in batches(whole, column=2):
+                host, layout, page, pivot, slots = (c.to_pylist() for c in part.columns[:5])
+                texts, told = zip(*[main_text(*wrappers.aligned(p, (h, x), v, s)) for h, x, p, v, s in zip(host, layout, page, pivot, slots)])
+                yield pa.RecordBatch.from_arrays([part.column(5), part.column(6), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(told, pa.string())], names=["page_id", "url", "text", "n_chars", "told_by"])
+
+    return small_batches(pages).select(*KEY, "html", "pivot", "slots", "page_id", "url").mapInArrow(run, "page_id long, url string, text string, n_chars long, told_by string")
+
 
-    return small_batches(pages).select("host", "html", "pivot", "template", "page_id", "url").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def layout_of(page: Column) -> Column:
+    """A page's layout: the containers it uses, by element and first class, numbers aside."""
+    tags = F.regexp_extract_all(page, F.lit(r"""(?i)<(?:div|section|article|main|header|footer|nav|aside|form)\b(?:[^>]*?\bclass\s*=\s*["']?[^\s"'>]*)?"""), F.lit(0))
+    named = F.transform(tags, lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, r"""(?is)^(<\w+).*?(?:\bclass\s*=\s*["']?|$)""", "$1 "), r"[0-9]+", "")))
+    return F.xxhash64(F.array_sort(F.array_distinct(named)))
 
 
-def extract(pages: DataFrame, constant: float = CONSTANT, least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+def extract(pages: DataFrame, constant: float = CONSTANT, least: int = LEAST) -> DataFrame:
+    """page_id, url, text, n_chars and told_by ("slots" of the wrapper, or the "page" itself) of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    html_ = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html_.alias("html"), host.alias("host"))
+    pages = pages.withColumn("own", layout_of(F.col("html")))
     mark = F.xxhash64("html", "page_id", "url")
-    chosen = pages.filter("html != ''").groupBy("host").agg(F.min(mark).alias("mark"))
-    chosen = materialize(chosen.select(F.col("host").alias("host_of"), "mark"), "chosen")
-    small = chosen.count() <= 100_000
-    found = pages.join(F.broadcast(chosen) if small else chosen, (F.col("host") == F.col("host_of")) & (mark == F.col("mark")))
-    pivots = materialize(found.groupBy("host_of").agg(F.min("html").alias("pivot")), "pivots")
-    small = (pivots.agg(F.sum(F.octet_length("pivot") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    beside = lambda x: F.broadcast(x) if small else x
-    counts = _slot_counts(pages.join(beside(pivots), F.col("host") == F.col("host_of"), "left")).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
-    slots = counts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "text")).alias("most"))
-    fixed = slots.filter((F.col("pages") >= least) & (F.col("most.n") >= constant * F.col("pages")))
-    template = fixed.groupBy(F.col("host").alias("host_t")).agg(F.collect_list(F.struct("slot", F.col("most.text").alias("text"))).alias("template"))
-    wrappers = materialize(pivots.join(template, F.col("host_of") == F.col("host_t"), "left").select("host_of", "pivot", "template"), "wrappers")
-    return _texts(pages.join(beside(wrappers), F.col("host") == F.col("host_of"), "left"))
+    layouts = materialize(pages.filter("html != ''").groupBy("host", "own").agg(F.min(mark).alias("mark"), F.count("*").alias("n")), "layouts")
+    most = layouts.groupBy(F.col("host").alias("main_host")).agg(F.max("n").alias("most"))
+    main = layouts.join(most, (F.col("host") == F.col("main_host")) & (F.col("n") == F.col("most"))).groupBy("main_host").agg(F.min("own").alias("main"))
+    chosen = layouts.join(main, F.col("host") == F.col("main_host")).filter((F.col("n") >= least) | (F.col("own") == F.col("main")))
+    chosen = materialize(chosen.select(F.col("host").alias("host_of"), F.col("own").alias("layout_of"), "mark", (F.col("own") == F.col("main")).alias("is_main")), "chosen", layouts.count())
+    found = pages.join(small(chosen, 100_000), (F.col("host") == F.col("host_of")) & (F.col("own") == F.col("layout_of")) & (mark == F.col("mark")))
+    pivots = materialize(found.groupBy("host_of", "layout_of").agg(F.min("html").alias("pivot"), F.first("is_main").alias("is_main")), "pivots")
+    few = (pivots.agg(F.sum(F.octet_length("pivot") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    beside = lambda x: F.broadcast(x) if few else x
+    known = pivots.select(F.col("host_of").alias("own_host"), F.col("layout_of").alias("own_layout"))
+    commonest = pivots.filter("is_main").select(F.col("host_of").alias("main_host"), F.col("layout_of").alias("main_layout"))
+    dealt = pages.join(beside(known), (F.col("host") == F.col("own_host")) & (F.col("own") == F.col("own_layout")), "left").join(beside(commonest), F.col("host") == F.col("main_host"), "left")
+    dealt = dealt.withColumn("layout", F.coalesce("own_layout", "main_layout", F.lit(0)))
+    at = lambda table: (F.col("host") == table["host_of"]) & (F.col("layout") == table["layout_of"])
+    slots = _wrapper_slots(_slot_counts(dealt.join(beside(pivots), at(pivots), "left")), constant).select(F.col("host").alias("host_s"), F.col("layout").alias("layout_s"), "slots")
+    wrappers = pivots.join(slots, (F.col("host_of") == F.col("host_s")) & (F.col("layout_of") == F.col("layout_s")), "left").select("host_of", "layout_of", "pivot", "slots")
+    wrappers = materialize(wrappers, "wrappers")
+    return _texts(dealt.join(beside(wrappers), at(wrappers), "left"))

@@ -386,18 +386,84 @@ def test_pages_lose_their_template(spark):
     [
         ("<form action=x><div><p>All of an old page</p><p>in one form</p></div></form><form><p>Search</p></form>", "All of an old page\nin one form"),
         ("<div id='cookieBanner'>We use cookies</div><main><h2>Head</h2><p>Text<aside>aside</aside></p><section class='comments'><p>nice</p></section></main>", "Head\nText"),
-        ("<body><article><header><h1>Title</h1><span>by me</span></header><p>One</p><footer>f</footer><div class='related-posts'><p>More</p></div></article><article class=x><p>Two</p></article>", "Title\nOne"),
+        ("<body><article><header><h1>Title</h1><span>by me</span></header><p>One</p><footer>f</footer><div class='related-posts'><p>More</p></div></article><article class=x><p>Two</p></article>", "Title\nOne\nTwo"),
+        ("<article><p class=alert>Alert</p><p class='share'>Share <math>x</math><label>y</label></p><div class='share'>tweet</div></article>", "Alert\nShare xy"),
+        ("<div><p>Lead</p><div><p>The longer part of an article, which outweighs its lead by far, and so on and so forth.</p></div></div>", "Lead\nThe longer part of an article, which outweighs its lead by far, and so on and so forth."),
         ("<ul class=nav-links><li>a</ul><div class=commentary><p>Opinion <i>piece</i>, with <a href=x>a link</a>.</p></div>", "Opinion piece, with a link."),
         ("<p>a &lt;b&gt; &amp;amp; &#8364; &nbsp; x</p><table><tr><td>1<td>2</table><script>if (a<b) {'</p>'}</script><style>p{}</style>", "a <b> &amp; € x\n1\n2"),
     ],
 )
 def test_page_parts(html, text):
-    assert html_text.main_text(html_text.parse(html), {}) == text
+    assert html_text.main_text(html_text.parse(html))[0] == text
+
+
+def unnamed(rng, i, kind):
+    """A page of one of two layouts, without a telling element or class, and its article."""
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(n))
+    body = [f"{words(rng.randrange(15, 40))} {i}.{j}" for j in range(rng.randrange(1, 7))]
+    inner = "".join(f"<p>{b}</p>" for b in body[:1]) + "<p>All rights kept by us</p>" + "".join(f"<p>{b}</p>" for b in body[1:])
+    links = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in words(5).split())
+    if kind == 0:
+        page = f"<body><div class=a><ul>{links}</ul></div><div class=b><p>{words(4)}</p></div><div class=c><h1>Title {i}</h1>{inner}</div><div class=d><div><p>Made with care</p></div></div></body>"
+        return page, [f"Title {i}", *body]
+    page = f"<body><section class=x><div><p>{words(3)}</p></div></section><section class=y><h1>Title {i}</h1><div class=z>{inner}</div></section><section class=w><div>{links}</div></section></body>"
+    return page, [f"Title {i}", *body]
+
+
+def plain_wrapper(pages):
+    """Template and region again, in plain Python on the slots of aligned trees: texts by slot over all pages."""
+    shapes = html_text.Shapes()
+    pivot = html_text.parse(pages[0])
+    shapes.number(pivot)
+    for slot, node in enumerate(html_text._nodes(pivot)):
+        node.slot = slot
+    shown = defaultdict(Counter)
+    for p in pages:
+        tree = html_text.parse(p)
+        shapes.number(tree)
+        shapes.align(tree, pivot)
+        for node in html_text._nodes(tree):
+            if node.slot >= 0 and (texts := html_text.runs(node)):
+                shown[node.slot]["\n".join(texts)] += 1
+    return {slot: t for slot, c in shown.items() for t, n in [c.most_common(1)[0]] if sum(c.values()) >= 3 and n >= 2 and n >= 0.9 * sum(c.values())}
+
+
+def test_slots_alone_decide(spark):
+    rng = random.Random(21)
+    made = [unnamed(rng, i, int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame([(i, f"http://plain.example/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.extract(df).collect()}
+    for i, (_, text) in enumerate(made):
+        assert got[i]["text"] == "\n".join(text) and got[i]["told_by"] == "slots"
+
+
+def test_template_equals_brute_force(spark):
+    rng = random.Random(22)
+    pages = [unnamed(rng, i, 0)[0] for i in range(25)] + [unnamed(rng, 3, 0)[0]] * 4
+    df = spark.createDataFrame([(h, 0, h, pages[0]) for h in ["h"] for h in pages], "host string, layout long, html string, pivot string").withColumn("host", F.lit("h"))
+    slots = html_text._wrapper_slots(html_text._slot_counts(df), html_text.CONSTANT).first()["slots"]
+    assert {x["slot"]: x["text"] for x in slots if x["text"] is not None} == {s: html_text._digest([t]) for s, t in plain_wrapper(pages).items()}
+
+
+def test_wide_lists_match_in_order():
+    rng = random.Random(23)
+    rows = lambda n: "<ul>" + "".join(f"<li>{'<p>a</p>' * rng.randrange(3)}{'<div>b</div>' * rng.randrange(2)}</li>" for _ in range(n)) + "</ul>"
+    shapes, a, b = html_text.Shapes(), html_text.parse(rows(900)), html_text.parse(rows(800))
+    x, y = (shapes.trees[shapes.number(t.children[0])][1:] for t in (a, b))
+    found = shapes.pairs(x, y)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:]))
+    best = [0] * (len(y) + 1)
+    for i in x:
+        row = [0]
+        for k, j in enumerate(y):
+            row.append(max(best[k + 1], row[k], best[k] + shapes.score(i, j)))
+        best = row
+    assert sum(shapes.score(x[i], y[j]) for i, j in found) == best[-1]
 
 
 @pytest.mark.parametrize("n", [100, 200, 3000])
 def test_deep_pages_are_read_whole(n):
-    read = lambda page: html_text.main_text(html_text.parse(page), {})
+    read = lambda page: html_text.main_text(html_text.parse(page))[0]
     deep = "<div>" * n + "<p>inner</p><ul class=menu><li>Menu</ul>" + "</div>" * n
     assert read(f"<body><article><div>{deep}<p>after</p></div><p>last</p></article><p>outside</p></body>") == "inner\nafter\nlast"
     assert read(f"<article><div>{'<font>' * n}one<div>two</div></div><p>three</p></article>") == "one\ntwo\nthree"
