@@ -6,8 +6,11 @@ bits a pair. The loss weighs the part of a vector's residual that is parallel to
 times as much as the rest, because that part is what changes large inner products; codes are chosen
 by coordinate descent on that loss and centres are its weighted least-squares solution.
 
-A query makes a table of its inner products with all centres; scanning a block adds up one entry a
-pair for every row, and the best RERANK rows of each block are measured exactly on the vectors.
+A query makes a table of its inner products with all centres; scanning a block of codes adds up one
+entry a pair for every row. Only codes and norms are dealt to the blocks (40 bytes a row of 64
+dimensions). Each block gives its share of a query's RERANK best rows, with room for chance, as rows
+are dealt to blocks by hash; the best RERANK over all blocks are joined with their vectors once, and
+their distances worked out exactly.
 
 The centres are fitted on the SAMPLE rows with the smallest hash; every row is encoded and scanned.
 
@@ -28,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerstone.llm.common import materialize
-from layerstone.llm.vectors import best_of_blocks, matrix, usable
+from layerstone.llm.vectors import matrix, ranked, usable
 
 K, EVERY = 10, 100
 SAMPLE, CENTRES, WIDTH, ROUNDS, SWEEPS = 8192, 16, 2, 6, 2
 #: Threshold T of the score-aware loss: large scores are those above T times the largest possible.
 THRESHOLD = 0.2
-RERANK = 96
+RERANK = 512
+#: Rows and queries to a block.
+ROWS, QUERIES = 1 << 14, 2048
 
 
 def pairs_of(x: np.ndarray) -> np.ndarray:
@@ -114,22 +119,23 @@ def codebooks(rows: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
 
 
 def index(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """rows with code (binary, four bits a pair). One pass, no shuffle."""
+    """row, dim, norm (square) and code (binary, four bits a pair) of every row. One pass, no shuffle."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)  # at most 16 * dim numbers a vector length
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            dims = whole.column(3).to_numpy()
+            dims = whole.column(2).to_numpy()
             for dim in np.unique(dims):
                 part = whole.filter(pa.array(dims == dim))
                 for at in range(0, len(part), 4096):
                     piece = part.slice(at, 4096)
-                    x = pairs_of(matrix(pa.chunked_array([piece.column(1)])))
+                    flat = matrix(piece.column(1))
+                    x = pairs_of(flat)
                     packed = pack(assign(x, shared.value[int(dim)], extra_weight(x.shape[1] * WIDTH)))
                     codes = pa.array([c.tobytes() for c in packed], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*piece.columns, codes], names=["vec_id", "v", "row", "dim", "code"])
+                    yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array((flat**2).sum(1)), codes], names=["row", "dim", "norm", "code"])
 
-    return rows.select("vec_id", "v", "row", "dim").mapInArrow(run, rows.select("vec_id", "v", "row", "dim").schema.add("code", "binary"))
+    return rows.select("row", "v", "dim").mapInArrow(run, "row long, dim int, norm double, code binary")
 
 
 def scan(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -141,31 +147,48 @@ def scan(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, centres: np.
     return total
 
 
-def search(embeddings: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERANK) -> DataFrame:
+def scanned(indexed: DataFrame, queries: DataFrame, books: dict[int, np.ndarray], rerank: int, per_block: int, per_query_block: int) -> DataFrame:
+    """query, row, near: from every block of codes its share of each query's rerank best rows, by the tables."""
+    shared = indexed.sparkSession.sparkContext.broadcast(books)
+    row_blocks, query_blocks = max(1, -(-indexed.count() // per_block)), max(1, -(-queries.count() // per_query_block))
+    share = rerank if row_blocks == 1 else min(rerank, int(np.ceil(rerank / row_blocks + 6 * np.sqrt(rerank / row_blocks))) + 1)
+    of = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.select("row", "v", "dim").withColumn("q", of(query_blocks)).withColumn("r", each(row_blocks))
+    right = indexed.withColumn("r", of(row_blocks)).withColumn("q", each(query_blocks))
+
+    def run(_, asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(asked) and len(held):
+            centres = shared.value[asked["dim"][0].as_py()]
+            q, norms = matrix(asked["v"]), held["norm"].to_numpy()
+            codes = unpack(np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(held), -1), len(centres))
+            own, row = asked["row"].to_numpy(), held["row"].to_numpy()
+            for a in range(0, len(q), 128):
+                score = scan(q[a : a + 128], codes, norms, centres)
+                score[own[a : a + 128][:, None] == row[None, :]] = -np.inf
+                take = min(share, score.shape[1])
+                near = np.argpartition(-score, take - 1, axis=1)[:, :take]
+                i = np.repeat(np.arange(len(near)), take)
+                found = score[i, near.ravel()]
+                use = found > -np.inf
+                for x, y in zip(out, (own[a + i[use]], row[near.ravel()[use]], found[use].astype(np.float64))):
+                    x.append(y)
+        return pa.table(dict(zip(("query", "row", "near"), (pa.array(np.concatenate(x)) for x in out))))
+
+    return left.groupBy("q", "r", "dim").cogroup(right.groupBy("q", "r", "dim")).applyInArrow(run, "query long, row long, near double")
+
+
+def search(embeddings: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERANK, per_block: int = ROWS, per_query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of every row whose vec_id is divisible by every."""
     rows = materialize(usable(embeddings, zero=False), "vectors")
     books = codebooks(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(books)
     indexed = materialize(index(rows, books), "index")
-
-    def run(asked: pa.Table, held: pa.Table) -> tuple:
-        centres = shared.value[asked["dim"][0].as_py()]
-        q, x = matrix(asked["v"]), matrix(held["v"])
-        codes = unpack(np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(held), -1), len(centres))
-        own, row, ids = asked["row"].to_numpy(), held["row"].to_numpy(), held["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-        out: list[list] = [[], [], []]
-        for a in range(0, len(q), 128):
-            score = scan(q[a : a + 128], codes, (x**2).sum(1), centres)
-            score[own[a : a + 128][:, None] == row[None, :]] = -np.inf
-            take = min(max(rerank, 2 * k), score.shape[1])
-            near = np.argpartition(-score, take - 1, axis=1)[:, :take]
-            for i, places in enumerate(near):
-                places = places[score[i, places] > -np.inf]
-                exact = np.sqrt(((x[places] - q[a + i]) ** 2).sum(1))
-                best = np.lexsort((row[places], ids[places], exact))[:k]
-                out[0] += [a + i] * len(best)
-                out[1].extend(places[best])
-                out[2].extend(exact[best])
-        return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], np.float64)
-
-    return best_of_blocks(indexed, indexed.filter(F.col("vec_id") % every == 0), run, k, nearest_first=True, score="double")
+    queries = rows.filter(F.col("vec_id") % every == 0)
+    near = scanned(indexed, queries, books, max(rerank, k), per_block, per_query_block)
+    chosen = ranked(near, max(rerank, k), F.col("near").desc(), F.col("row").asc()).select("query", F.col("row").alias("near_row"))
+    asked = queries.select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    both = chosen.join(rows.select("row", "vec_id", "v"), F.col("near_row") == F.col("row")).join(asked, F.col("query") == F.col("asked"))
+    squares = F.zip_with("v", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    exact = both.select("query", "query_id", "row", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+    return ranked(exact, k, F.col("score").asc(), F.col("vec_id").asc_nulls_last(), F.col("row").asc()).select("query_id", "rank", "vec_id", "score")

@@ -1,25 +1,13 @@
-"""What the two vector searches share: usable vectors, blocks of queries against blocks of rows, merged ranks.
-
-Queries and rows are dealt to blocks of bounded size, and each pair of a query block and a row block
-is one group: rows go to as many groups as there are query blocks, queries to as many as there are
-row blocks. No group grows with the input. Each group gives its own best rows for each query, and
-those are merged by rank.
-"""
+"""What the two vector searches share: usable vectors, Arrow matrices, best rows of each query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows and queries to a block, about.
-ROWS, QUERIES = 2048, 2048
-
-
 def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     """row (a number of our own), vec_id, v, dim of the vectors without nulls and non-finite components; zero: whether zero vectors count."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).withColumn("row", F.monotonically_increasing_id())
@@ -29,31 +17,19 @@ def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     return rows.withColumn("dim", F.size("v"))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as float64 rows."""
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False) if column.num_chunks else np.zeros(0)
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = pa.concat_arrays([c.flatten() for c in chunks]).to_numpy(zero_copy_only=False) if chunks else np.zeros(0)
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def best_of_blocks(rows: DataFrame, queries: DataFrame, search: Callable[[pa.Table, pa.Table], tuple], k: int, nearest_first: bool, score: str, per_block: int = ROWS, per_query_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: search(queries, rows) of each pair of blocks gives (query places, row places, scores), merged to k a query.
-
-    rows and queries have row, vec_id, dim and what search needs; only vectors of one dim meet.
-    """
-    n, m = rows.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-m // per_query_block))
-    of = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.withColumn("q", of(query_blocks)).withColumn("r", each(row_blocks))
-    right = rows.withColumn("r", of(row_blocks)).withColumn("q", each(query_blocks))
-
-    def run(_, asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not len(asked) or not len(held):
-            return pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64() if score == "double" else pa.int64())})
-        i, j, s = search(asked, held)
-        return pa.table({"query": asked["row"].take(i), "query_id": asked["vec_id"].take(i), "row": held["row"].take(j), "vec_id": held["vec_id"].take(j), "score": pa.array(s)})
-
-    found = left.groupBy("q", "r", "dim").cogroup(right.groupBy("q", "r", "dim")).applyInArrow(run, f"query long, query_id long, row long, vec_id long, score {score}")
-    order = [F.col("score").asc() if nearest_first else F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("row").asc()]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def lists(values: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column of doubles."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values, np.float64).ravel()))
+
+
+def ranked(found: DataFrame, k: int, *order: Column) -> DataFrame:
+    """found with rank, the first k of each query. Rows are cut to k a query before and after the shuffle."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from layerstone.llm import anisotropic, cover_tree, vectors
+from layerstone.llm import anisotropic, cover_tree
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -26,15 +26,33 @@ def found(df):
     return got
 
 
-def test_dual_tree_equals_brute_force(embeddings):
+def best_products(ids, x, every, k):
+    """By query place: ids and scores of the k largest products of its vector with all others, ties to the smaller id."""
+    for q in np.flatnonzero(ids % every == 0):
+        scores, others = x @ x[q], np.flatnonzero(np.arange(len(ids)) != q)
+        best = others[np.lexsort((ids[others], -scores[others]))[:k]]
+        yield q, [(r, ids[b], scores[b]) for r, b in enumerate(best, 1)]
+
+
+@pytest.mark.parametrize("sizes", [(2048, 2048), (150, 7)])
+def test_dual_tree_equals_brute_force(embeddings, sizes):
     ids, x = plain(embeddings)
-    x = np.floor(256 * x).astype(np.int64)
-    got = found(cover_tree.search(embeddings))
-    assert set(got) == {i for i in ids if i % 50 == 0}
-    for q in np.flatnonzero(ids % 50 == 0):
-        scores, others = x @ x[q], np.flatnonzero(ids != ids[q])
-        best = others[np.lexsort((ids[others], -scores[others]))[:5]]
-        assert got[ids[q]] == [(r, ids[b], scores[b]) for r, b in enumerate(best, 1)]
+    got = found(cover_tree.search(embeddings, per_block=sizes[0], per_query_block=sizes[1]))
+    want = dict(best_products(ids, np.floor(256 * x).astype(np.int64), 50, 5))
+    assert got == {ids[q]: best for q, best in want.items()}
+
+
+def test_clustered_vectors_are_pruned_in_blocks_and_trees(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16)) * 8
+    x = np.concatenate([c + rng.normal(size=(100, 16)) * 0.2 for c in centres] + [np.repeat(centres[:1], 200, 0)])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int")
+    whole = np.floor(256 * x).astype(np.int64)
+    want = {ids[q]: best for q, best in best_products(ids, whole, 50, 5)}
+    for sizes in ((2048, 2048), (120, 20)):
+        assert found(cover_tree.search(df, per_block=sizes[0], per_query_block=sizes[1])) == want
+        assert cover_tree.scored_share(df, per_block=sizes[0], per_query_block=sizes[1]) < 0.3
 
 
 def test_dual_tree_equals_its_sql(embeddings, data):
@@ -48,37 +66,50 @@ def test_dual_tree_equals_its_sql(embeddings, data):
     assert sorted(tuple(r) for r in cover_tree.search(embeddings).select("query_id", "rank", "vec_id", "score").collect()) == want
 
 
-def test_dual_tree_with_many_ties_and_blocks():
+def test_dual_tree_with_many_ties():
     rng = np.random.default_rng(1)
     data = rng.integers(-3, 4, (400, 4)).astype(np.float64)
     ids, rows = rng.permutation(400) // 2, np.arange(400)
-    i, j, s = cover_tree.dual_search(data[:50], data, rows[:50], rows, ids, 7)
+    asked, held = cover_tree.build(data[:50], rows[:50], ids[:50]), cover_tree.build(data, rows, ids)
+    i, j, s, _ = cover_tree.dual_search(asked, held, 7)
     for q in range(50):
         others = np.flatnonzero(rows != q)
         scores = data @ data[q]
         best = others[np.lexsort((rows[others], ids[others], -scores[others]))[:7]]
-        mine = sorted(zip(-s[i == q], ids[j[i == q]], j[i == q]))
+        at = asked.rows[i] == q
+        mine = sorted(zip(-s[at], held.ids[j[at]], held.rows[j[at]]))
         assert [m[2] for m in mine] == best.tolist()
 
 
-def test_cover_tree_covers_and_separates():
-    data = np.random.default_rng(2).normal(size=(600, 6))
-    rest = [cover_tree.build(data)]
-    while rest:
-        node = rest.pop()
-        assert (np.sqrt(((data[node.points] - node.centre) ** 2).sum(1)) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(p for c in node.children for p in c.points) == sorted(node.points)
-            centres = np.array([c.centre for c in node.children])
-            gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2)) + np.eye(len(centres)) * 1e9
-            assert gaps.min() > node.radius / cover_tree.BASE - 1e-9
-        rest += node.children
-
-
-def test_anisotropic_recall_and_scores(embeddings, monkeypatch):
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies"])
+def test_cover_tree_covers_and_separates_by_level(kind):
+    rng = np.random.default_rng(2)
+    data = {"random": rng.normal(size=(600, 3)), "clustered": np.repeat(rng.normal(size=(20, 6)) * 9, 30, 0) + rng.normal(size=(600, 6)) * 0.1, "copies": np.repeat(rng.normal(size=(7, 6)), 90, 0)}[kind]
+    distance = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    levels = list(cover_tree.nets(data))
+    for (radius, centres, owner), (_, above, _) in zip(levels, levels[:1] + levels):
+        assert set(above) <= set(centres)  # nested
+        assert (distance(data, data[centres]).min(1) <= radius + 1e-9).all()  # covering
+        assert len(centres) == 1 or (distance(data[centres], data[centres]) + np.eye(len(centres)) * 1e9).min() > radius  # separation
+        assert (distance(data, data[centres])[np.arange(len(data)), owner] <= radius + 1e-9).all()
+    tree = cover_tree.Tree.from_bytes(cover_tree.build(data, np.arange(len(data)), np.arange(len(data))).to_bytes())
+    assert sorted(tree.rows) == list(range(len(data))) and len(tree.begin) > 1
+    for node in range(len(tree.begin)):
+        inside = tree.data[tree.begin[node] : tree.end[node]]
+        assert (distance(inside, tree.centres[node : node + 1]) <= tree.radius[node] + 1e-9).all()
+        c = slice(tree.child[node], tree.child[node] + tree.children[node])
+        if tree.children[node]:
+            assert tree.begin[c][0] == tree.begin[node] and tree.end[c][-1] == tree.end[node] and (tree.begin[c][1:] == tree.end[c][:-1]).all()
+            level = levels[tree.level[c][0]]
+            assert (tree.level[c] == tree.level[c][0]).all() and tree.level[c][0] > tree.level[node]
+            assert {tuple(x) for x in tree.centres[c]} <= {tuple(x) for x in data[level[1]]}
+            assert (tree.radius[c] <= level[0] + 1e-9).all()
+
+
+@pytest.mark.parametrize("sizes", [(1 << 14, 2048), (300, 6)])
+def test_anisotropic_recall_and_scores(embeddings, sizes):
     ids, x = plain(embeddings)
-    monkeypatch.setattr(vectors, "ROWS", 512)
-    got = found(anisotropic.search(embeddings))
+    got = found(anisotropic.search(embeddings, rerank=128, per_block=sizes[0], per_query_block=sizes[1]))
     hit = total = 0
     for q in np.flatnonzero(ids % 100 == 0):
         distance, others = np.sqrt(((x - x[q]) ** 2).sum(1)), np.flatnonzero(ids != ids[q])
@@ -110,7 +141,7 @@ def test_codes_pack_and_weigh_parallel_errors():
 def test_vectors_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (100, None, 1), (200, [1.0, None], 1), (300, [nan, 1.0], 1), (400, [inf, 1.0], 1), (500, [0.0, 0.0], 1), (600, [3.0, 1.0, 2.0], 1), (None, [2.0, 2.0], 1), (7, [1.0, 2.0], 1), (8, [-1.0, 0.5], 1), (9, [], 1)]
-    df = spark.createDataFrame(rows, VECTORS).withColumn("row", F.lit("clash")).withColumn("score", F.lit(1))
+    df = spark.createDataFrame(rows, VECTORS).withColumn("row", F.lit("clash")).withColumn("score", F.lit(1)).withColumn("v", F.lit(2)).withColumn("block", F.lit(3))
     exact = cover_tree.search(df).collect()
     mine = [(r["rank"], r["vec_id"], r["score"]) for r in exact if r["query_id"] == 0]
     assert sorted(mine) == sorted(2 * [(1, None, 393216), (2, 0, 327680), (3, 7, 327680), (4, 8, 0), (5, 500, 0)])
