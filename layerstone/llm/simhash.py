@@ -384,6 +384,45 @@ def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
     return small_batches(rows).select("key", "id", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
 
 
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """id, size, sketch from id, text: the parity of a set's hashes by their lowest bits, twice as many bits as the set has members or more, a power of two."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in batches(whole):
+                sizes, bits = [], []
+                for text in part.column(1).to_pylist():
+                    found = _shingle_set(text, words).view(np.uint64)
+                    m = max(64, 1 << (2 * len(found)).bit_length())
+                    parity = np.bincount((found & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+                    sizes.append(len(found))
+                    bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["id", "size", "sketch"])
+
+    return small_batches(rows).select("id", "text").mapInArrow(run, "id long, size int, sketch binary")
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many members two sets differ at least, by their sketches: a longer one is folded to the shorter's bits."""
+    x, y = sorted((np.frombuffer(s, np.uint8) for s in (a, b)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _not_unlike(candidates: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The candidates (a, b) but those that their sketches show to be of less than that similarity. Loses no similar pair."""
+    left, right = (sketches.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            a, b, n, m, x, y = (c.to_pylist() for c in part.columns)
+            may = [least_difference(p, q) <= (1 - similarity) / (1 + similarity) * (i + j) + 1e-9 for i, j, p, q in zip(n, m, x, y)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(may, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
+
+    both = small_batches(candidates.join(left, "a").join(right, "b"))
+    return both.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
 def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The candidates (a, b) whose shingle sets (id, shingles) are of at least that Jaccard similarity."""
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
@@ -398,7 +437,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     among fingerprints that differ by at most distance bits are found first, each standing for one set
     that has it, as equal fingerprints do not mean copies; an exact prefix-filter
     join of the sets then finds all others that these do not connect already, so none is missed, nor
-    any that the spanning forest of a large variant group leaves out. Only equal sets collapse unseen.
+    any that a variant group's spanning forest of SimHash links leaves out. Only equal sets collapse unseen.
 
     Defined results: null and empty texts, and texts of white space only, have the empty set, so one of
     them all stays; of repeated rows, one; a null doc_id counts as the largest, and among equal doc_ids
@@ -426,18 +465,23 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
 
     prints = materialize(distinct.groupBy("first.fp").agg(F.min("id").alias("id")), "prints", n)
 
-    def verified(candidates: DataFrame) -> DataFrame:
+    def ends_of(candidates: DataFrame) -> DataFrame:
         ends = candidates.select(F.col("a").alias("end")).unionByName(candidates.select(F.col("b").alias("end"))).distinct()
-        wanted = materialize(distinct.join(ends, distinct["id"] == ends["end"]).select("end"), "wanted", n)
-        sets = materialize(_shingle_sets(texts.join(small(wanted), F.col("id") == F.col("end"), "left_semi"), words), "shingles")
-        return materialize(_similar(candidates, sets, similarity), "verified", n)
+        return texts.join(small(materialize(ends, "wanted", n)), F.col("id") == F.col("end"), "left_semi")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        """Sketches, a few bits a shingle, leave little more than the similar pairs to be compared in full."""
+        sketches = materialize(_sketches(ends_of(candidates), words), "sketches")
+        rest = materialize(_not_unlike(candidates, sketches, similarity), "not-unlike", n)
+        sets = materialize(_shingle_sets(ends_of(rest), words), "shingles")
+        return materialize(_similar(rest, sets, similarity), "verified", n)
 
     def rooted(found: DataFrame) -> DataFrame:
         roots = materialize(components(found, n), "roots", n)
         return distinct.join(small(roots), distinct["id"] == roots["node"], "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
 
     one, other = (prints.select(F.col("fp").alias(f"{c}_fp"), F.col("id").alias(c)) for c in ("a", "b"))
-    near = links(prints.select("fp"), distance).distinct().select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
+    near = links(prints.select("fp"), distance, small_group=1).distinct().select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
     found = verified(materialize(near.join(one, "a_fp").join(other, "b_fp").select("a", "b"), "candidates", n))
     known = materialize(rooted(found).select(F.col("id").alias("of"), "root"), "known", n)
     index = _prefixes(texts, words, similarity, _common_shingles(texts, words))

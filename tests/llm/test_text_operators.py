@@ -132,6 +132,23 @@ def test_near_duplicates_go_and_clean_documents_stay(spark):
 
 
 
+def test_sketches_never_overstate_a_difference(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice((0, 3, 9, 40, 130, 300)))) for _ in range(60)]
+    texts += [t + " more words at the end" for t in texts[:30]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: (r["size"], bytes(r["sketch"])) for r in simhash._sketches(rows, 5).collect()}
+    sets = [set(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes(t, 5)]).tolist()) for t in texts]
+    for i, a in enumerate(sets):
+        assert got[i][0] == len(a)
+        for j, b in enumerate(sets):
+            assert simhash.least_difference(got[i][1], got[j][1]) <= len(a ^ b)
+    pairs = spark.createDataFrame([(i, j) for i in range(90) for j in range(i + 1, 90)], "a long, b long")
+    left = {tuple(r) for r in simhash._not_unlike(pairs, simhash._sketches(rows, 5), 0.8).collect()}
+    alike = {(i, j) for i in range(90) for j in range(i + 1, 90) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert alike <= left and len(left) < 4005 / 5
+
+
 def similar_pair(rng, bits):
     """Two texts of similarity 0.8 to 0.9 whose fingerprints are over so many bits apart."""
     shingles = lambda t: set(zip(*[t.split()[i:] for i in range(5)]))
@@ -152,8 +169,8 @@ def test_similar_texts_with_distant_fingerprints_go(spark):
 
 
 def test_pairs_that_a_forest_of_links_hides_go(spark, monkeypatch):
-    def hidden(fps, distance):
-        return links(fps, distance, small_group=1).filter(~F.col("a").isin(*lost) | ~F.col("b").isin(*lost))
+    def hidden(fps, distance, small_group):
+        return links(fps, distance, small_group).filter(~F.col("a").isin(*lost) | ~F.col("b").isin(*lost))
 
     links, rng = simhash.links, random.Random(6)
     words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
