@@ -37,7 +37,7 @@ WORDS, DISTANCE, SEED = 4, 4, 42
 #: Groups up to SMALL emit every link, larger ones a spanning forest; a task holds at most CAP members of a group.
 SMALL, CAP, TILE = 64, 4096, 1024
 #: Bytes of a text, and hashes, that are worked on at once.
-TEXT_BLOCK, HASH_BLOCK = 1 << 20, 1 << 18
+TEXT_BLOCK, HASH_BLOCK = 1 << 20, 1 << 14
 #: One fingerprint in so many tells which variant keys are hot.
 HOT_SAMPLE = 16
 #: One set in so many tells which shingles are common; shingles in at least COMMON of these, COMMONEST of them at most, are tried last.
