@@ -40,8 +40,8 @@ from layerstone.llm.common import batches, fresh, materialize, small, small_batc
 ORDER = 4
 #: Rows of a model that is broadcast, and trusted ids that are.
 MODEL_ROWS, BROADCAST_IDS = 4_000_000, 1_000_000
-#: Units of text that are worked on at once.
-BLOCK = 1 << 19
+#: Units of text that are counted at once, and that are looked up at once.
+BLOCK, LOOK_UP = 1 << 19, 1 << 16
 QUANTILE, MARGIN, WEIGHT = 0.995, 1.1, 50
 #: Length bands, in UTF-16 units.
 BANDS = (64, 256, 1024)
@@ -61,10 +61,10 @@ class Units:
         for k in range(ORDER - 1):
             self.inside[begins + k] = False
 
-    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+    def blocks(self, size: int = BLOCK) -> Iterator[tuple[slice, np.ndarray]]:
         """The places of units within texts and the 4-grams that end there, block by block."""
-        for a in range(ORDER - 1, len(self.units), BLOCK):
-            part = slice(a, min(a + BLOCK, len(self.units)))
+        for a in range(ORDER - 1, len(self.units), size):
+            part = slice(a, min(a + size, len(self.units)))
             x = self.units[a - ORDER + 1 : part.stop].astype(np.uint64)
             n = part.stop - a
             grams = x[:n]
@@ -75,7 +75,7 @@ class Units:
     def sums(self, log_p: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """Each text's sum of the log probabilities of its 4-grams."""
         total = np.zeros(len(self.lengths))
-        for part, grams in self.blocks():
+        for part, grams in self.blocks(LOOK_UP):
             inside = self.inside[part]
             found = np.zeros(len(grams))
             found[inside] = log_p(grams[inside])
