@@ -140,9 +140,42 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def _edges(keys: np.ndarray) -> np.ndarray:
+    """Where the groups of sorted keys begin, and the end."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+
+
+def _whole_groups(parts: Iterator[list[np.ndarray]], cap: int | None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Columns sorted by the first one in blocks that cut no group (False), and rows of groups of over cap members (True), which are passed on as they come."""
+    held: list[np.ndarray] | None = None
+    over: int | None = None  # the key of the group that has outgrown cap
+    for now in parts:
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        if over is not None:
+            n = int(np.searchsorted(held[0], over, "right"))
+            yield True, [c[:n] for c in held]
+            held = [c[n:] for c in held]
+            if not len(held[0]):
+                continue
+            over = None
+        edge = _edges(held[0])
+        if cap is not None and len(edge) > 1 and (sizes := np.diff(edge)).max() > cap:
+            large = np.repeat(sizes > cap, sizes)
+            yield True, [c[large] for c in held]
+            if sizes[-1] > cap:
+                over = int(held[0][-1])
+            held = [c[~large] for c in held]
+            edge = _edges(held[0])
+        n = int(edge[-2]) if len(edge) > 1 and over is None else len(held[0])
+        yield False, [c[:n] for c in held]
+        held = [c[n:] for c in held]
+    if held is not None:
+        yield False, held
+
+
 def _group_links(keys: np.ndarray, fps: np.ndarray, distance: int, small: int) -> np.ndarray:
     """Verified links (rows a < b) within the groups of equal, sorted keys."""
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    edge = _edges(keys)
     starts, sizes = edge[:-1], np.diff(edge)
     found = []
     in_small = np.repeat((sizes > 1) & (sizes <= small), sizes)
@@ -185,36 +218,14 @@ def _meet(rows: DataFrame, distance: int, small: int, cap: int | None) -> DataFr
         n = len(b)
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if a is None else pa.array(a), pa.array(b), pa.nulls(n, pa.int64()) if key is None else pa.array(key)], names=["a", "b", "key"])
 
-    def solve(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        links = _group_links(keys, fps.view(np.uint64), distance, small)
-        if len(links):
-            yield out(np.ascontiguousarray(links[:, 0]), np.ascontiguousarray(links[:, 1]), None)
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = fps = np.zeros(0, np.int64)
-        over: int | None = None  # the key of the group that has outgrown cap
-        for part in parts:
-            keys, fps = (np.concatenate([x, c.to_numpy()]) for x, c in zip((keys, fps), (part.column(0), part.column(1))))
-            if over is not None:
-                n = int(np.searchsorted(keys, over, "right"))
-                if n:
-                    yield out(None, fps[:n], keys[:n])
-                keys, fps = keys[n:], fps[n:]
-                if not len(keys):
-                    continue
-                over = None
-            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-            if cap is not None and len(edge) > 1 and (sizes := np.diff(edge)).max() > cap:
-                large = np.repeat(sizes > cap, sizes)
-                yield out(None, fps[large], keys[large])
-                if sizes[-1] > cap:
-                    over = int(keys[-1])
-                keys, fps = keys[~large], fps[~large]
-                edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-            n = int(edge[-2]) if len(edge) > 1 and over is None else len(keys)
-            yield from solve(keys[:n], fps[:n])
-            keys, fps = keys[n:], fps[n:]
-        yield from solve(keys, fps)
+        for large, (keys, fps) in _whole_groups(([c.to_numpy() for c in part.columns] for part in parts), cap):
+            if large:
+                yield out(None, fps, keys)
+                continue
+            links = _group_links(keys, fps.view(np.uint64), distance, small)
+            if len(links):
+                yield out(np.ascontiguousarray(links[:, 0]), np.ascontiguousarray(links[:, 1]), None)
 
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long")
 
@@ -230,12 +241,13 @@ def _by_blocks(rows: DataFrame, distance: int) -> DataFrame:
     return rows.select(F.explode(keys).alias("key"), "fp")
 
 
-def _by_tiles(rows: DataFrame, tile: int) -> DataFrame:
-    """Each row of a large group under each pair of tiles that its own tile is in; any two rows share one."""
-    n = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n"))
-    tiled = rows.join(n, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    return tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+def _by_tiles(rows: DataFrame, tile: int, member: str = "fp") -> DataFrame:
+    """Each row of a large group under each pair of tiles that its own tile is in; any two rows share one. rows are materialized."""
+    rest = [c for c in rows.columns if c != "key"]
+    n = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "tiles")
+    own = F.pmod(F.xxhash64(member), F.col("n"))
+    tiled = rows.join(small(n), "key").select("key", *rest, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *rest)
 
 
 def _hot_keys(fps: DataFrame, distance: int, cap: int) -> DataFrame:
@@ -344,16 +356,19 @@ def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
     return found[:, np.argsort(found[0])]
 
 
-def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of id that can be of that similarity, from key, id, size, place, root; pairs of one root are left out.
+def _meet_sets(rows: DataFrame, similarity: float, cap: int | None) -> DataFrame:
+    """a, b and nulls, from key, id, size, place, root, hot: pairs of id that can be of that similarity; and rows (a null, b the id) of hot keys and of groups of over cap members.
 
     Members of a key are sorted by size, so each is compared with those up to size / similarity only.
     A pair counts under a shingle if it leaves both sets enough shingles from there on; that holds
-    under the first shingle a similar pair shares.
+    under the first shingle a similar pair shares. Rows of hot keys are spread by id and pass through.
     """
+    names, nothing = ["a", "b", "key", "size", "place", "root"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def solve(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        edge = _edges(keys)
+        if len(edge) < 2:
+            return
         joined = np.repeat(np.minimum.reduceat(roots, edge[:-1]) == np.maximum.reduceat(roots, edge[:-1]), np.diff(edge))
         ends, left = np.repeat(edge[1:], np.diff(edge)), sizes - places
         at, lag = np.flatnonzero(~joined), 1
@@ -364,24 +379,65 @@ def _set_links(rows: DataFrame, similarity: float) -> DataFrame:
             near = (np.minimum(left[at], left[other]) >= least) & (roots[at] != roots[other])
             if near.any():
                 a, b = ids[at[near]], ids[other[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(len(a), t) for t in nothing)], names=names)
             lag += 1
 
+    def passed(columns: list[np.ndarray]) -> pa.RecordBatch:
+        keys, ids, *rest = (pa.array(c) for c in columns)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), ids, keys, *rest], names=names)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for part in parts:
-            now = [c.to_numpy() for c in part.columns]
-            if not part.num_rows:
-                continue
-            n = int(np.searchsorted(now[0], now[0][-1]))  # the last key goes on in the next batch
-            if n or held and held[-1][0][-1] != now[0][0]:
-                yield from solve(*map(np.concatenate, zip(*held, [c[:n] for c in now])))
-                held = []
-            held.append([c[n:] for c in now])
-        if held:
-            yield from solve(*map(np.concatenate, zip(*held)))
+        spread: list[pa.RecordBatch] = []
+
+        def others() -> Iterator[list[np.ndarray]]:
+            for part in parts:
+                *now, hot = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                if hot.any():
+                    spread.append(passed([c[hot] for c in now]))
+                    now = [c[~hot] for c in now]
+                yield now
+
+        for large, columns in _whole_groups(others(), cap):
+            yield from spread
+            spread.clear()
+            if large:
+                yield passed(columns)
+            else:
+                yield from solve(*columns)
+
+    where = F.when(F.col("hot"), F.xxhash64("id")).otherwise(F.col("key"))
+    dealt = small_batches(rows).select("key", "id", "size", "place", "root", "hot").repartition(where).sortWithinPartitions("key", "size")
+    return dealt.mapInArrow(run, "a long, b long, key long, size int, place int, root long").distinct()
+
+
+def _by_sizes(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows of large groups under two bands of size each, so that any two sets of similar size share one. Groups whose members are all of one root go."""
+    unlike = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
+    band = F.floor(F.log("size") / max(1.001 * math.log(1 / similarity), 0.01))
+    banded = rows.join(small(materialize(unlike, "unlike")), "key").withColumn("band", F.explode(F.array(band, band + 1)))
+    return banded.select(F.xxhash64("key", "band").alias("key"), "id", "size", "place", "root")
+
+
+def _set_links(rows: DataFrame, similarity: float, hot: np.ndarray, cap: int = CAP, tile: int = TILE) -> DataFrame:
+    """a, b: pairs of id that can be of that similarity, from key, id, size, place, root; pairs of one root are left out.
 
-    return small_batches(rows).select("key", "id", "size", "place", "root").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
+    hot are keys to be split before any task holds their rows; other groups of over cap members are
+    found by the tasks that meet them. Both are dealt by bands of size, then by tiles, which any two
+    members share: the way differs, the pairs do not.
+    """
+    spark = rows.sparkSession
+    if len(hot):  # at most COMMONEST
+        known = F.broadcast(spark.createDataFrame(pa.table({"hot_key": hot})))
+        rows = rows.join(known, F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull())
+    else:
+        rows = rows.withColumn("hot", F.lit(False))
+    first = materialize(_meet_sets(rows, similarity, cap), "candidates")
+    found = first.filter("a is not null").select("a", "b")
+    over = first.filter("a is null").select("key", F.col("b").alias("id"), "size", "place", "root")
+    if over.isEmpty():
+        return found
+    tiled = _by_tiles(materialize(_by_sizes(over, similarity), "banded"), tile, "id").withColumn("hot", F.lit(False))
+    return found.unionByName(materialize(_meet_sets(tiled, similarity, None).select("a", "b").distinct(), "candidates"))
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
@@ -430,7 +486,7 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return candidates.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, similarity: float = 0.8) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, similarity: float = 0.8, cap: int = CAP, tile: int = TILE) -> DataFrame:
     """The rows of docs less all but one of each group of near duplicates: the one with the smallest doc_id stays.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least similarity. Links
@@ -438,6 +494,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     that has it, as equal fingerprints do not mean copies; an exact prefix-filter
     join of the sets then finds all others that these do not connect already, so none is missed, nor
     any that a variant group's spanning forest of SimHash links leaves out. Only equal sets collapse unseen.
+    A shingle of over cap sets is split, by size and then in tiles; no task holds them all.
 
     Defined results: null and empty texts, and texts of white space only, have the empty set, so one of
     them all stays; of repeated rows, one; a null doc_id counts as the largest, and among equal doc_ids
@@ -484,9 +541,10 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
     near = links(prints.select("fp"), distance, small_group=1).distinct().select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
     found = verified(materialize(near.join(one, "a_fp").join(other, "b_fp").select("a", "b"), "candidates", n))
     known = materialize(rooted(found).select(F.col("id").alias("of"), "root"), "known", n)
-    index = _prefixes(texts, words, similarity, _common_shingles(texts, words))
+    common = _common_shingles(texts, words)
+    index = _prefixes(texts, words, similarity, common)
     index = index.join(small(known), F.col("id") == F.col("of"))
-    found = found.unionByName(verified(materialize(_set_links(index, similarity).distinct(), "candidates", n)))
+    found = found.unionByName(verified(_set_links(index, similarity, common[0][common[1] * SAMPLE > cap], cap, tile)))
     known = rooted(found)
     firsts = known.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("members")).filter("members > 1")
     groups = materialize(known.join(firsts, "root").select(F.col("id").alias("group"), F.col("stays.row").alias("stays")), "groups", n)

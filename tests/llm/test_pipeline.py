@@ -1,15 +1,17 @@
 """The corpus pipeline against plain Python, stage by stage, and on awkward tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from layerstone.llm import byte_bpe, mixing, pii, quality
+from layerstone.llm import byte_bpe, mixing, pii, quality, simhash
 from layerstone.llm.common import materialize
 from tests.llm.test_text_operators import AWKWARD, documents, union_find
 
@@ -61,6 +63,30 @@ def test_near_duplicates_equal_brute_force_by_band(spark, data):
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(survivors([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_shingles_of_many_sets_are_split_and_lose_no_pair(spark, hot):
+    """Large groups of one shingle, of many sizes and roots: the pairs are those of groups that are not split, wherever the split is made."""
+    rng = random.Random(8)
+    rows = [(k, i, rng.randrange(4, 40), 0, i if k < 2 else 7) for k in range(4) for i in range(60)] + [(9, i, 10, 0, i) for i in range(3)]
+    index = spark.createDataFrame(rows, "key long, id long, size int, place int, root long")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])}
+    keys = np.array([0, 2] if hot else [], np.int64)
+    for cap, tile in ((1000, 1000), (16, 5), (2, 2)):
+        got = {(r["a"], r["b"]) for r in simhash._set_links(index, 0.8, keys, cap, tile).collect()}
+        assert got == want
+    assert simhash._set_links(index.limit(0), 0.8, keys, 2, 2).count() == 0
+
+
+def test_near_duplicates_of_split_shingles_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join("x%d" % rng.randrange(5) if rng.random() < rate else w for w in base) for rate in (0, 0.01, 0.02, 0.04, 0.1) for _ in range(12)]
+    texts += [" ".join([*base[:k], *(f"y{rng.randrange(10**6)}" for _ in range(10))]) for k in (20, 60, 100, 119)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    out = simhash.without_near_duplicates(docs, cap=4, tile=3)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(survivors(list(enumerate(texts))))
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
 def test_stages_take_awkward_tables(spark, data, name):
     stage = dict(corpus_pipeline.STAGES)[name]
