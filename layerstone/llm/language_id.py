@@ -29,6 +29,8 @@ from layerstone.llm.common import batches, materialize, small, small_batches
 
 #: Bounds of what is learned from.
 ROWS_PER_LANGUAGE, ROW_BYTES = 128, 64 << 10
+#: Buckets of a language whose rows are ranked apart first.
+BUCKETS = 64
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 9
 #: Languages closer than this share of the runner-up's bytes are not told apart.
@@ -62,6 +64,9 @@ def sample(train: DataFrame, rows: int = ROWS_PER_LANGUAGE, row_bytes: int = ROW
     order = Window.partitionBy("lang").orderBy("mark", "key")
     # one row of equal ones; only keys go through the window, texts are fetched for the chosen keys
     light = train.filter(F.octet_length("text") <= row_bytes).select("lang", mark.alias("mark"), F.col("doc_id").alias("key")).distinct()
+    # of each bucket first, so that what one task ranks of a language is bounded however many partitions there are
+    bucket = Window.partitionBy("lang", F.pmod("mark", F.lit(BUCKETS))).orderBy("mark", "key")
+    light = light.withColumn("place", F.row_number().over(bucket)).filter(F.col("place") <= rows).drop("place")
     ranked = light.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
     chosen = materialize(ranked.select(F.col("lang").alias("lang_of"), F.col("mark").alias("mark_of"), F.col("key").alias("key_of"), "rank"), "chosen", 1)
     counts = train.groupBy(F.col("lang").alias("counted")).agg(F.count("*").alias("rows_in"))
