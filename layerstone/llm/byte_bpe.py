@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
-The tokenizers library encodes Arrow batches. Its BPE model is built from a rank file: each byte
-becomes one printable character (the byte table), each rank a vocabulary entry, and each entry of
-two or more bytes the merge that yields it. Every match of the split pattern is encoded separately.
+The tiktoken library encodes Arrow batches by the ranks of a rank file; every match of the split
+pattern is encoded separately. Its regular expressions overflow on very long runs of white space, so
+texts with a run of SPACES go to the tokenizers library, whose BPE model is built from the same ranks:
+each byte becomes one printable character (the byte table), each rank a vocabulary entry, and each
+entry of two or more bytes the merge that yields it. Both give the same ids.
 Decoding looks up each id's bytes through the reversed byte table and joins bytes, so a character
 that is split over several tokens comes back whole; only whole texts are turned into strings.
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstone.llm.common import batches, small_batches, tokenizer_file
+from layerstone.llm.common import batches, small_batches, tokenizer_file, trimmed
 
-#: Bytes of texts that are encoded at once, and characters from which a text is cut; the library needs some fifty times as much.
+#: Bytes of texts that are encoded at once, and characters from which a text is cut; the tokenizers library needs some fifty times as much.
 BATCH, PIECE = 1 << 19, 1 << 18
+#: White space in a row that tiktoken is not given; it fails somewhere between 100,000 and 300,000.
+SPACES = 1 << 12
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
 
@@ -100,24 +105,38 @@ def pieces(text: str, size: int | None = None) -> Iterator[str]:
     yield text[start:]
 
 
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{SPACES}}}")
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to bytes."""
 
     def __init__(self, description: str):
+        import tiktoken
+
+        self.description = description
+        back = {c: b for b, c in byte_table().items()}
+        ranks = {bytes(map(back.__getitem__, token)): i for token, i in json.loads(description)["model"]["vocab"].items()}
+        self.plain = tiktoken.Encoding("plain", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_of[i] = token
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The same model in the tokenizers library; few workers ever need it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(description)
-        back = {c: b for b, c in byte_table().items()}
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = bytes(map(back.__getitem__, token))
+        return Tokenizer.from_str(self.description)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if all(len(t) <= PIECE for t in texts):
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [[i for p in pieces(t) for i in self.tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids] for t in texts]
+        return [self._ids(t) if len(t) <= PIECE else [i for p in pieces(t) for i in self._ids(p)] for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        if len(text) >= SPACES and _LONG_SPACE.search(text):
+            return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return self.plain.encode_ordinary(text)
 
     def offsets(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Where each token begins and ends, in bytes of the text."""
@@ -150,7 +169,7 @@ def encode(docs: DataFrame, rank_path: str | None = None) -> DataFrame:
                 spans = [c.offsets(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), *(pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1))], names=["doc_id", "ids", "starts", "ends"])
 
-    return _texts(docs).mapInArrow(run, ENCODED)
+    return _texts(docs).mapInArrow(trimmed(run), ENCODED)
 
 
 def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
@@ -162,7 +181,7 @@ def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.decode(x or []) for x in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, decoded binary")
 
 
 def digests(docs: DataFrame, rank_path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -186,4 +205,4 @@ def digests(docs: DataFrame, rank_path: str | None = None, with_ids: bool = Fals
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packed).view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return _texts(docs).mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
+    return _texts(docs).mapInArrow(trimmed(run), DIGESTS + ", ids array<int>" * with_ids)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerstone.storage import materialize, shared_dir
 
-__all__ = ["ARROW_BYTES", "batches", "fresh", "materialize", "read", "shared_dir", "small", "small_batches", "tokenizer_file", "word_count"]
+__all__ = ["ARROW_BYTES", "batches", "fresh", "materialize", "read", "shared_dir", "small", "small_batches", "tokenizer_file", "trimmed", "word_count"]
 
 #: Bytes of an Arrow batch, and rows that are broadcast at most.
 ARROW_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
@@ -77,6 +80,30 @@ def batches(batch, limit_bytes: int = 2 << 20, column: int = 1):
         yield batch.slice(start, n - start)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, which gives back to the system what a worker holds free once its task is done.
+
+    Workers are kept for later tasks in turn, so without it each would hold on to the most that any
+    task of any operator has needed.
+    """
+
+    def whole(parts: Iterator) -> Iterator:
+        yield from run(parts)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Free memory that the allocators of this process hold goes back to the system, where they can do that."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def _lengths(column) -> list[int]:
     import pyarrow.compute as pc
 

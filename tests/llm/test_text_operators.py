@@ -5,10 +5,12 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 import xxhash
@@ -674,6 +676,53 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, real):
         assert [(t or "").encode()[a:b] for a, b in zip(spans[d]["starts"], spans[d]["ends"])] == [plain.decode_single_token_bytes(i) for i in ids]
 
 
+def plain_bpe(match, ranks):
+    """The lowest rank of two neighbours is merged first, the leftmost of equal ones."""
+    parts = [match] if match in ranks else [match[i : i + 1] for i in range(len(match))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_byte_bpe_equals_plain_merges_on_odd_texts(spark):
+    ranks, split = byte_bpe.read_ranks(byte_bpe.rank_file(None)), regex.compile(byte_bpe.split_pattern())
+    space = " " * byte_bpe.SPACES
+    texts = ["<|endoftext|> I'll 1234 a1b2", "\u3000\x85 x\u2003 \r\n\n y", "日本語。語 " * 9, "👍🏽e\u0301 \0\x1c\x1fz", "qzxj" * 90, "a" + space + "b", "a" + space[1:] + "b", space + "\n", "\t" * byte_bpe.SPACES + "x"]
+    want = [[i for m in split.findall(t) for i in plain_bpe(m.encode(), ranks)] for t in texts[:5]]
+    got = {r["doc_id"]: r for r in byte_bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()}
+    assert [got[k]["ids"] for k in range(5)] == want
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    assert all(got[k]["ids"] == plain.encode_ordinary(t) for k, t in enumerate(texts))
+    assert all(got[k]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(texts))
+
+
+def test_byte_bpe_takes_white_space_that_tiktoken_fails_on(spark):
+    n = 1_000_000
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=byte_bpe.read_ranks(byte_bpe.rank_file(None)), special_tokens={})
+    want = [i for m in (b"x", b" " * (n - 1), b" y") for i in plain._encode_single_piece(m)]
+    (got,) = byte_bpe.digests(spark.createDataFrame([(1, "x" + " " * n + "y")], "doc_id long, text string"), with_ids=True).collect()
+    assert got["ids"] == want
+
+
+def test_byte_bpe_costs_little_more_than_tiktoken(real):
+    texts = [r["text"] or "" for r in real.limit(1000).collect()]
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=byte_bpe.read_ranks(byte_bpe.rank_file(None)), special_tokens={})
+    codec = byte_bpe.Codec(byte_bpe.tokenizer_json(byte_bpe.rank_file(None)))
+
+    def cost(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cost(lambda: codec.encode(texts)) < 2 * cost(lambda: [plain.encode_ordinary(t) for t in texts])
+
+
 def test_long_texts_are_cut_where_matches_meet(real):
     plain = tiktoken.Encoding("plain", pat_str=byte_bpe.split_pattern(), mergeable_ranks=byte_bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), special_tokens={})
     rng = random.Random(9)
