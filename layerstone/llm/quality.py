@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstone.llm.common import batches, fresh, materialize, small, small_batches
+from layerstone.llm.common import batches, fresh, materialize, small, small_batches, trimmed
 
 ORDER = 4
 #: Rows of a model that is broadcast, and trusted ids that are.
@@ -126,7 +126,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     codes, n = np.unique(grams[units.inside[place]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    return small_batches(texts).select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
+    return small_batches(texts).select(F.col("text").cast("string")).mapInArrow(trimmed(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
 
 
 def _suffix(code: Column, order: int) -> Column:
@@ -204,7 +204,7 @@ def _sharded_sums(docs: DataFrame, table: DataFrame) -> DataFrame:
                         codes, n = np.unique(grams[units.inside[place]], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row)), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "code", "n"])
 
-    counts = materialize(small_batches(docs).select("row", "text").mapInArrow(run, "row long, code long, n long"), "counts")
+    counts = materialize(small_batches(docs).select("row", "text").mapInArrow(trimmed(run), "row long, code long, n long"), "counts")
     known = materialize(_looked_up(counts.select("code").distinct(), table), "known")
     return counts.join(known, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("s"))
 
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, table: DataFrame | None, keep: list[str], name: str
 
     k = len(kept)
     fields = [*(docs.schema[i] for i in kept), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())]
-    rows = small_batches(docs).mapInArrow(run, T.StructType([T.StructField(str(i), f.dataType) for i, f in enumerate(fields)]))
+    rows = small_batches(docs).mapInArrow(trimmed(run), T.StructType([T.StructField(str(i), f.dataType) for i, f in enumerate(fields)]))
     return rows.select(*[F.col(str(i)).alias(c) for i, c in enumerate(keep)], F.when(F.col(str(k + 1)) > 0, F.exp(-F.col(str(k)) / F.col(str(k + 1)))).alias(name))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstone.llm.common import batches, fresh, materialize, small, small_batches
+from layerstone.llm.common import batches, fresh, materialize, small, small_batches, trimmed
 from layerstone.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -43,6 +43,9 @@ HOT_SAMPLE = 16
 #: One set in so many tells which shingles are common; shingles in at least COMMON of these, COMMONEST of them at most, are tried last.
 SAMPLE, COMMON, COMMONEST = 8, 3, 200_000
 
+#: Columns of 64 bits each that hold the parity of a set.
+PARITY = ["parity0", "parity1", "parity2", "parity3"]
+
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -120,7 +123,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for part in batches(whole):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_batch(part.column(1).to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -227,7 +230,7 @@ def _meet(rows: DataFrame, distance: int, small: int, cap: int | None) -> DataFr
             if len(links):
                 yield out(np.ascontiguousarray(links[:, 0]), np.ascontiguousarray(links[:, 1]), None)
 
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(run), "a long, b long, key long")
 
 
 def _by_blocks(rows: DataFrame, distance: int) -> DataFrame:
@@ -314,37 +317,50 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
-    return small_batches(rows).select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return small_batches(rows).select("id", "text").mapInArrow(trimmed(run), "id long, shingles array<long>")
+
+
+def _parity(found: np.ndarray) -> np.ndarray:
+    """For each value of a hash's lowest eight bits, whether an odd number of the set has it. Two sets differ in as many members at least as these differ in bits."""
+    odd = np.bincount((found.view(np.uint64) & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefixes(rows: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """key (shingle), id, size, place: the first shingles of every set of id, text, of which similar sets share one.
+    """key (shingle), id, size, place, PARITY: the first shingles of every set of id, text, of which similar sets share one.
 
     Two sets of at least that Jaccard similarity share ceil(similarity * size) shingles, so of each set
     all but so many, and one, are enough, in whatever order all sets keep: here common ones (a row of
-    hashes, sorted, above a row of counts) come last, so few sets meet under one shingle.
+    hashes, sorted, above a row of counts) come last, so few sets meet under one shingle. Only rows of
+    common ones carry the set's parity, others zeros: few sets meet under those.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for part in batches(whole):
-                keys, sizes, takes = [], [], []
+                keys, sizes, takes, parities = [], [], [], []
                 for text in part.column(1).to_pylist():
                     found = _shingle_set(text, words)
                     take = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+                    parity = np.zeros((take, len(PARITY)), np.int64)
                     if common.shape[1]:
                         at = np.minimum(np.searchsorted(common[0], found), common.shape[1] - 1)
-                        found = found[np.argsort(np.where(common[0][at] == found, common[1][at], 0), kind="stable")]
+                        met = np.where(common[0][at] == found, common[1][at], 0)
+                        order = np.argsort(met, kind="stable")
+                        parity[met[order[:take]] > 0] = _parity(found)
+                        found = found[order]
                     keys.append(found[:take])
                     sizes.append(len(found))
                     takes.append(len(keys[-1]))
+                    parities.append(parity)
                 ids = np.repeat(part.column(0).to_numpy(), takes)
                 places = np.concatenate([np.arange(n, dtype=np.int32) for n in takes])
+                columns = [np.concatenate(keys), ids, np.repeat(np.array(sizes, np.int32), takes), places, *np.concatenate(parities).T]
                 for k in range(0, len(ids), HASH_BLOCK):
                     cut = slice(k, k + HASH_BLOCK)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (np.concatenate(keys), ids, np.repeat(np.array(sizes, np.int32), takes), places)], names=["key", "id", "size", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[cut])) for x in columns], names=["key", "id", "size", "place", *PARITY])
 
-    return small_batches(rows).select("id", "text").mapInArrow(run, "key long, id long, size int, place int")
+    return small_batches(rows).select("id", "text").mapInArrow(trimmed(run), "key long, id long, size int, place int" + "".join(f", {p} long" for p in PARITY))
 
 
 def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
@@ -357,15 +373,16 @@ def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _meet_sets(rows: DataFrame, similarity: float, cap: int | None) -> DataFrame:
-    """a, b and nulls, from key, id, size, place, root, hot: pairs of id that can be of that similarity; and rows (a null, b the id) of hot keys and of groups of over cap members.
+    """a, b and nulls, from key, id, size, place, root, PARITY, hot: pairs of id that can be of that similarity; and rows (a null, b the id) of hot keys and of groups of over cap members.
 
     Members of a key are sorted by size, so each is compared with those up to size / similarity only.
     A pair counts under a shingle if it leaves both sets enough shingles from there on; that holds
-    under the first shingle a similar pair shares. Rows of hot keys are spread by id and pass through.
+    under the first shingle a similar pair shares. Pairs that differ in too many bits of parity are left
+    out, and no similar one does. Rows of hot keys are spread by id and pass through.
     """
-    names, nothing = ["a", "b", "key", "size", "place", "root"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names, nothing = ["a", "b", "key", "size", "place", "root", *PARITY], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int64()] * len(PARITY)]
 
-    def solve(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray, *parities: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = _edges(keys)
         if len(edge) < 2:
             return
@@ -377,8 +394,11 @@ def _meet_sets(rows: DataFrame, similarity: float, cap: int | None) -> DataFrame
             other = at + lag
             least = similarity / (1 + similarity) * (sizes[at] + sizes[other]) - 1e-9
             near = (np.minimum(left[at], left[other]) >= least) & (roots[at] != roots[other])
-            if near.any():
-                a, b = ids[at[near]], ids[other[near]]
+            one, two = at[near], other[near]
+            differ = sum(np.bitwise_count((p[one] ^ p[two]).view(np.uint64)).astype(np.int64) for p in parities)
+            may = differ <= (1 - similarity) / (1 + similarity) * (sizes[one] + sizes[two]) + 1e-9
+            if may.any():
+                a, b = ids[one[may]], ids[two[may]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(len(a), t) for t in nothing)], names=names)
             lag += 1
 
@@ -406,8 +426,8 @@ def _meet_sets(rows: DataFrame, similarity: float, cap: int | None) -> DataFrame
                 yield from solve(*columns)
 
     where = F.when(F.col("hot"), F.xxhash64("id")).otherwise(F.col("key"))
-    dealt = small_batches(rows).select("key", "id", "size", "place", "root", "hot").repartition(where).sortWithinPartitions("key", "size")
-    return dealt.mapInArrow(run, "a long, b long, key long, size int, place int, root long").distinct()
+    dealt = small_batches(rows).select("key", "id", "size", "place", "root", *PARITY, "hot").repartition(where).sortWithinPartitions("key", "size")
+    return dealt.mapInArrow(trimmed(run), "a long, b long, key long, size int, place int, root long" + "".join(f", {p} long" for p in PARITY)).distinct()
 
 
 def _by_sizes(rows: DataFrame, similarity: float) -> DataFrame:
@@ -415,17 +435,18 @@ def _by_sizes(rows: DataFrame, similarity: float) -> DataFrame:
     unlike = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
     band = F.floor(F.log("size") / max(1.001 * math.log(1 / similarity), 0.01))
     banded = rows.join(small(materialize(unlike, "unlike")), "key").withColumn("band", F.explode(F.array(band, band + 1)))
-    return banded.select(F.xxhash64("key", "band").alias("key"), "id", "size", "place", "root")
+    return banded.select(F.xxhash64("key", "band").alias("key"), "id", "size", "place", "root", *PARITY)
 
 
 def _set_links(rows: DataFrame, similarity: float, hot: np.ndarray, cap: int = CAP, tile: int = TILE) -> DataFrame:
-    """a, b: pairs of id that can be of that similarity, from key, id, size, place, root; pairs of one root are left out.
+    """a, b: pairs of id that can be of that similarity, from key, id, size, place, root and, where it is known, PARITY; pairs of one root are left out.
 
     hot are keys to be split before any task holds their rows; other groups of over cap members are
     found by the tasks that meet them. Both are dealt by bands of size, then by tiles, which any two
     members share: the way differs, the pairs do not.
     """
     spark = rows.sparkSession
+    rows = rows.withColumns({p: F.lit(0).cast("long") for p in PARITY if p not in rows.columns})
     if len(hot):  # at most COMMONEST
         known = F.broadcast(spark.createDataFrame(pa.table({"hot_key": hot})))
         rows = rows.join(known, F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull())
@@ -433,7 +454,7 @@ def _set_links(rows: DataFrame, similarity: float, hot: np.ndarray, cap: int = C
         rows = rows.withColumn("hot", F.lit(False))
     first = materialize(_meet_sets(rows, similarity, cap), "candidates")
     found = first.filter("a is not null").select("a", "b")
-    over = first.filter("a is null").select("key", F.col("b").alias("id"), "size", "place", "root")
+    over = first.filter("a is null").select("key", F.col("b").alias("id"), "size", "place", "root", *PARITY)
     if over.isEmpty():
         return found
     tiled = _by_tiles(materialize(_by_sizes(over, similarity), "banded"), tile, "id").withColumn("hot", F.lit(False))
@@ -455,7 +476,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                     bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["id", "size", "sketch"])
 
-    return small_batches(rows).select("id", "text").mapInArrow(run, "id long, size int, sketch binary")
+    return small_batches(rows).select("id", "text").mapInArrow(trimmed(run), "id long, size int, sketch binary")
 
 
 def least_difference(a: bytes, b: bytes) -> int:
@@ -476,7 +497,7 @@ def _not_unlike(candidates: DataFrame, sketches: DataFrame, similarity: float) -
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(may, pa.bool_())) for c in part.columns[:2]], names=["a", "b"])
 
     both = small_batches(candidates.join(left, "a").join(right, "b"))
-    return both.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -514,7 +535,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7,
                 sets = np.array([digest(_shingle_set(t, words).tobytes()) for t in texts], np.uint64)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.view(np.int64)) for x in (fingerprint_batch(texts, words), sets))], names=fields.names)
 
-    held = materialize(small_batches(docs).select(*columns).mapInArrow(run, fields).withColumn(names["row"], F.monotonically_increasing_id()), "fingerprinted")
+    held = materialize(small_batches(docs).select(*columns).mapInArrow(trimmed(run), fields).withColumn(names["row"], F.monotonically_increasing_id()), "fingerprinted")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), row.alias("row"), fp.alias("fp"))
     n = held.count()
     distinct = materialize(held.groupBy(own.alias("id")).agg(F.min(order).alias("first"), F.count("*").alias("n")), "distinct", n)

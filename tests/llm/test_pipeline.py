@@ -1,9 +1,11 @@
 """The corpus pipeline against plain Python, stage by stage, and on awkward tables."""
 
+import ctypes
 import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from layerstone.llm import byte_bpe, mixing, pii, quality, simhash
-from layerstone.llm.common import materialize
+from layerstone.llm.common import materialize, trimmed
 from tests.llm.test_text_operators import AWKWARD, documents, union_find
 
 
@@ -87,6 +89,48 @@ def test_near_duplicates_of_split_shingles_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(survivors(list(enumerate(texts))))
 
 
+def test_unlike_sets_of_a_common_passage_are_no_candidates(spark):
+    """Sets that share a passage but too little of the rest are told apart where they meet; every similar pair is a candidate."""
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, blocks = words(20), [words(25) for _ in range(8)]
+    texts = [" ".join([*passage, *(w for k in sorted(rng.sample(range(8), 4)) for w in blocks[k])]) for _ in range(200)]
+    texts += [" ".join([*t.split()[:-k], *words(k)]) for t in texts[:20] for k in (2, 8)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    common = simhash._common_shingles(rows, 5)
+    assert common.shape[1]
+    index = simhash._prefixes(rows, 5, 0.8, common).withColumn("root", F.col("id"))
+    sets = [shingles(t) for t in texts]
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    for hot, cap in ((np.zeros(0, np.int64), 1000), (np.zeros(0, np.int64), 8), (common[0], 8)):
+        got = {(r["a"], r["b"]) for r in simhash._set_links(index, 0.8, hot, cap, 5).collect()}
+        assert alike <= got and len(got) < 6000  # 12,523 pairs meet
+
+
+def test_workers_give_memory_back_after_a_task():
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        pytest.skip("not glibc")
+    libc.malloc.restype, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    pinned = []
+
+    def run(parts):
+        blocks = [libc.malloc(64 << 10) for _ in range(3000)]
+        for block in blocks:
+            ctypes.memset(block, 1, 64 << 10)
+        pinned.append(blocks.pop())  # what was taken last stays in use, so free() alone gives nothing back
+        for block in blocks:
+            libc.free(block)
+        yield from parts
+
+    before = held()
+    assert list(trimmed(run)(iter([1, 2]))) == [1, 2]
+    after = held()
+    libc.free(pinned[0])
+    assert after - before < 60
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
 def test_stages_take_awkward_tables(spark, data, name):
     stage = dict(corpus_pipeline.STAGES)[name]
