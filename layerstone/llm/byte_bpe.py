@@ -204,5 +204,6 @@ def digests(docs: DataFrame, rank_path: str | None = None, with_ids: bool = Fals
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packed).view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        codec.cache_clear()  # workers go on to other operators' tasks; it is made again in a fraction of a second
 
     return _texts(docs).mapInArrow(trimmed(run), DIGESTS + ", ids array<int>" * with_ids)

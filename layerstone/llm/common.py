@@ -13,7 +13,7 @@ from layerstone.storage import materialize, shared_dir
 __all__ = ["ARROW_BYTES", "batches", "fresh", "materialize", "read", "shared_dir", "small", "small_batches", "tokenizer_file", "trimmed", "word_count"]
 
 #: Bytes of an Arrow batch, and rows that are broadcast at most.
-ARROW_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
+ARROW_BYTES, BROADCAST_ROWS = 1 << 20, 500_000
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,8 +57,8 @@ def word_count(text: Column) -> Column:
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with Arrow batches of its session limited to ARROW_BYTES where the session leaves Spark's default.
 
-    Python workers and the JVM each hold whole batches, so this bounds what a task needs however long
-    texts are. Spark reads the setting when a plan is run, so it stays set for the session; a session
+    Python workers and the JVM each hold whole batches, the JVM in several direct buffers of up to twice
+    the size that its allocators keep, so this bounds what a task needs however long texts are. Spark reads the setting when a plan is run, so it stays set for the session; a session
     that names its own size keeps it.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -162,7 +162,8 @@ def model(trusted: DataFrame) -> DataFrame | None:
             total, spare, kinds = grams[k].agg(F.sum("c"), F.sum(off), F.count("*")).first()
             floor = spare / total / (kinds + 1)
             p = grams[k].select("code", ((F.col("c") - off) / total + F.lit(floor)).alias("p"))
-            out.append(p.sparkSession.createDataFrame([(0, 0, float(np.log(floor)))], "kind int, code long, value double"))
+            # not by createDataFrame, whose rows come from Python workers of a pool of their own, which each executor then keeps
+            out.append(p.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("code"), F.lit(float(np.log(floor))).alias("value")))
         else:
             context = grams[k].groupBy(_context(F.col("code")).alias("context")).agg(F.sum("c").alias("total"), F.sum(off).alias("spare"))
             context = materialize(context, "contexts", n)

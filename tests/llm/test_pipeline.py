@@ -4,17 +4,19 @@ import ctypes
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from layerstone.llm import byte_bpe, mixing, pii, quality, simhash
-from layerstone.llm.common import materialize, trimmed
+from layerstone.llm.common import materialize, small_batches, trimmed
 from tests.llm.test_text_operators import AWKWARD, documents, union_find
 
 
@@ -131,6 +133,43 @@ def test_workers_give_memory_back_after_a_task():
     assert after - before < 60
 
 
+def test_model_needs_no_second_pool_of_workers(spark, monkeypatch):
+    """Rows given to createDataFrame come from Python workers apart from those of mapInArrow; executors would keep both."""
+    texts = spark.range(20).selectExpr("concat('some trusted text ', id) as text")
+
+    def refuse(*args, **named):
+        raise AssertionError("createDataFrame was called")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    rows = quality.model(texts).filter("kind = 0").collect()
+    assert [(r["code"], r["value"] < 0) for r in rows] == [(0, True)]
+
+
+def test_arrow_batches_are_small(spark):
+    docs = small_batches(spark.range(4000, numPartitions=1).selectExpr("id as doc_id", "repeat('some text ', 200) as text"))
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.nbytes])], names=["n"])
+
+    found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 8_000_000 and max(found) < 1_200_000
+
+
+def test_workers_drop_the_codec_after_a_task(spark):
+    docs = spark.range(40, numPartitions=4).selectExpr("id as doc_id", "'some text' as text")
+
+    def left(parts):
+        time.sleep(0.5)  # so that each task has a worker of its own, as those before had
+        for _ in parts:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([byte_bpe.codec.cache_info().currsize])], names=["n"])
+
+    assert byte_bpe.digests(docs).count() == 40
+    assert byte_bpe.digests(docs).agg(F.sum("n_tokens")).first()[0] == 80
+    assert {r["n"] for r in docs.mapInArrow(left, "n long").collect()} == {0}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
 def test_stages_take_awkward_tables(spark, data, name):
     stage = dict(corpus_pipeline.STAGES)[name]
