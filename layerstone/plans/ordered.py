@@ -26,12 +26,20 @@ def ranged(df: DataFrame, *order: str | Column, n: int | None = None) -> DataFra
     return materialize(dealt.withColumn(RANGE, F.spark_partition_id()).drop(SALT), "ranged")
 
 
+def _nearest(value: Column, window, following: bool, *order: str) -> Column:
+    """The nearest value before a row, or after it, that is not null.
+
+    What comes after is what comes before in the descending order: a frame that ends at the last row
+    is worked out anew for every row, one that begins at the first row grows with it.
+    """
+    by = [F.desc(c) if following else F.asc(c) for c in order]
+    return F.last(value, ignorenulls=True).over(window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def _carry(df: DataFrame, value: Column, pick, following: bool) -> DataFrame:
     """range_of, carried: the picked value of the nearest range before (or after) that has one. A row a range."""
     own = df.groupBy(RANGE).agg(pick(value).alias("own"))
-    order = Window.orderBy(RANGE)
-    frame = order.rowsBetween(1, Window.unboundedFollowing) if following else order.rowsBetween(Window.unboundedPreceding, -1)
-    near = (F.first if following else F.last)("own", ignorenulls=True).over(frame)
+    near = _nearest(F.col("own"), Window, following, RANGE)
     return F.broadcast(own.select(F.col(RANGE).alias("range_of"), near.alias("carried")))
 
 
@@ -60,9 +68,7 @@ def seek(probes: DataFrame, keys: DataFrame, how: str, n: int | None = None) ->
     asked = probes.select(F.col(probes.columns[0]).cast(known.schema["at"].dataType).alias("at"), F.lit(1).alias("rank"))
     merged = ranged(known.unionByName(asked), "at", "rank", n=n)
     key = F.when(F.col("rank") != 1, F.col("at"))
-    order = Window.partitionBy(RANGE).orderBy("at", "rank")
-    frame = order.rowsBetween(1, Window.unboundedFollowing) if following else order.rowsBetween(Window.unboundedPreceding, -1)
-    inside = (F.first if following else F.last)(key, ignorenulls=True).over(frame)
+    inside = _nearest(key, Window.partitionBy(RANGE), following, "at", "rank")
     carried = _carry(merged, key, F.min if following else F.max, following)
     found = merged.withColumn("inside", inside).filter("rank = 1").join(carried, F.col(RANGE) == F.col("range_of"), "left")
     return found.select(F.col("at").alias("probe"), F.when(F.col("at").isNotNull(), F.coalesce("inside", "carried")).alias("found"))

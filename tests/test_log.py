@@ -220,3 +220,15 @@ def test_bloom_never_misses(spark):
     found = rows(bloom.may_contain(filters, bits, log.select("key")))
     assert {(i, i % 4) for i in range(400)} <= found
     assert len(found) < 400 + 60
+
+
+@pytest.mark.parametrize("how", ["ge"])
+def test_seeks_forward_grow_a_frame_row_by_row(spark, how):
+    """A frame that ends at the last row is worked out anew for each: the square of the rows of a range."""
+    keys = spark.createDataFrame([(x,) for x in (None, 3, 3, 8, 8, 20)], "k long")
+    probes = spark.createDataFrame([(x,) for x in (None, 2, 3, 3, 7, 8, 8, 19, 20, 21)], "p long")
+    over = {"ge": [None, 3, 3, 3, 8, 8, 8, 20, 20, None], "gt": [None, 3, 8, 8, 8, 20, 20, 20, None, None]}[how]
+    for n in (None, 1, 3):
+        found = ordered.seek(probes, keys, how, n)
+        assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+        assert sorted(map(repr, found.collect())) == sorted(f"Row(probe={p}, found={f})" for p, f in zip((None, 2, 3, 3, 7, 8, 8, 19, 20, 21), over))
