@@ -222,7 +222,7 @@ def test_bloom_never_misses(spark):
     assert len(found) < 400 + 60
 
 
-@pytest.mark.parametrize("how", ["ge"])
+@pytest.mark.parametrize("how", ["ge", "gt"])
 def test_seeks_forward_grow_a_frame_row_by_row(spark, how):
     """A frame that ends at the last row is worked out anew for each: the square of the rows of a range."""
     keys = spark.createDataFrame([(x,) for x in (None, 3, 3, 8, 8, 20)], "k long")
