@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FRAME, HEAD, LENGTH = struct.Struct("<II"), struct.Struct("<qBI"), struct.Struct("<I")
 RECORDS = "seq long, op tinyint, key binary, value binary, rejected string"
+#: Bytes of a block of frames (a longer record is a block of its own), as an Arrow batch may bring a worker 10,000 of them; records, and bytes of keys and values, that a worker holds decoded.
+BLOCK, HELD_ROWS, HELD_BYTES = 4 << 10, 5_000, 1 << 20
 
 
 def encode(seq: int, op: int, key: bytes, value: bytes | None) -> bytes:
@@ -48,12 +50,23 @@ def decode(data: bytes) -> Iterator[tuple[int | None, int | None, bytes | None,
 
 
 def frame(log: DataFrame) -> DataFrame:
-    """file, frames: the log's records framed in write order, one row per partition and block."""
+    """frames: the log's records framed in write order, a row a block of whole frames."""
+
+    def blocks(part: pa.RecordBatch) -> Iterator[bytes]:
+        block = bytearray()
+        for at in range(0, part.num_rows, HELD_ROWS):
+            for row in zip(*(c.to_pylist() for c in part.slice(at, HELD_ROWS).columns)):
+                record = encode(*row)
+                if block and len(block) + len(record) > BLOCK:
+                    yield bytes(block)
+                    block.clear()
+                block += record
+        if block:
+            yield bytes(block)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = zip(*(c.to_pylist() for c in part.columns))
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(encode(*r) for r in rows)], pa.binary())], names=["frames"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks(part), pa.binary())], names=["frames"])
 
     columns = [F.col("seq"), F.col("op").cast("int"), F.col("key").cast("binary"), F.col("value").cast("binary")]
     return log.select(*columns).sortWithinPartitions("seq").mapInArrow(run, "frames binary")
@@ -63,11 +76,21 @@ def read(blocks: DataFrame) -> DataFrame:
     """seq, op, key, value, rejected from a binary column (content of binaryFile, or frames)."""
     column = "content" if "content" in blocks.columns else "frames"
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.string()))], names=["seq", "op", "key", "value", "rejected"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for part in parts:
-            for data in part.column(0).to_pylist():
-                rows = list(decode(data or b""))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.string()))], names=["seq", "op", "key", "value", "rejected"])
+            for data in part.column(0):
+                for row in decode(data.as_py() or b""):
+                    rows.append(row)
+                    held += len(row[2] or b"") + len(row[3] or b"")
+                    if len(rows) >= HELD_ROWS or held >= HELD_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     return blocks.select(column).mapInArrow(run, RECORDS)
 
@@ -143,11 +166,10 @@ def write_files(log: DataFrame, folder: str) -> None:
         task = TaskContext.get()
         target, n = f"{path}/wal-{task.partitionId():06}.log", 0
         aside = f"{path}/.{task.taskAttemptId()}.part"
-        with system.open_output_stream(aside) as out:
+        with system.open_output_stream(aside, buffer_size=1 << 20) as out:
             for part in parts:
-                for data in part.column(0).to_pylist():
-                    out.write(data)
-                    n += len(data)
+                for data in part.column(0):
+                    n += out.write(data.as_buffer())
         system.move(aside, target)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["bytes"])
 

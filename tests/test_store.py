@@ -160,3 +160,14 @@ def test_checksums(spark):
     df = spark.createDataFrame([(bytearray(b"abc"),)], "d binary").withColumn("c", codec.checksum(F.col("d")))
     assert df.filter(codec.intact(F.col("d"), F.col("c"))).count() == 1
     assert df.filter(codec.intact(F.concat("d", F.lit("x").cast("binary")), F.col("c"))).count() == 0
+
+
+def test_blocks_of_frames_are_small_and_whole(spark):
+    """A worker is sent up to 10,000 blocks at once, so their size, not the partition's, must bound what it holds."""
+    value = F.when(F.col("id") == 778, F.repeat(F.lit("x"), 3 * framed_log.BLOCK)).otherwise(F.col("id").cast("string"))
+    log = spark.range(25_000, numPartitions=1).select(F.col("id").alias("seq"), (F.col("id") % 3 > 0).cast("int").alias("op"), F.col("id").cast("string").alias("key"), F.when(F.col("id") % 3 > 0, value).alias("value"))
+    blocks = framed_log.frame(log)
+    sizes = sorted(r[0] for r in blocks.select(F.length("frames")).collect())
+    assert sizes[-2] <= framed_log.BLOCK < sizes[-1] < 4 * framed_log.BLOCK  # one record is longer than a block
+    back = framed_log.replay(blocks).selectExpr("cast(key as string) key", "seq", "cast(op as int) op", "cast(value as string) value")
+    assert back.exceptAll(log.select(*back.columns)).count() == 0 and back.count() == 25_000
