@@ -2,48 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from layerstone.plans.manifest import Store
 
 
-class LatestValue(StatefulProcessor):
-    """Keeps (seq, op, value) of each key and emits it whenever a newer write comes; older and repeated writes change nothing."""
-
-    def __init__(self, value: str):
-        self.value = value
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("newest", f"seq long, op int, value {self.value}")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        new = old
-        for batch in rows:
-            top = batch.loc[batch["seq"].idxmax()]
-            if new is None or top["seq"] > new[0]:
-                value = top["value"]
-                missing = value is None or isinstance(value, float) and pd.isna(value)
-                new = (int(top["seq"]), int(top["op"]), None if missing else getattr(value, "item", lambda: value)())
-        if new is not None and new != old:
-            self.state.update(new)
-            yield pd.DataFrame({"key": [key[0]], "seq": [new[0]], "op": [new[1]], "value": pd.Series([new[2]], dtype=object)})
-
-    def close(self) -> None:
-        pass
-
-
 def latest_values(writes: DataFrame) -> DataFrame:
-    """The stream of newest versions (key, seq, op, value) of a stream of writes; key and value keep their types."""
-    key, value = (writes.schema[c].dataType.simpleString() for c in ("key", "value"))
-    rows = writes.selectExpr("key", "seq", "cast(op as int) op", "value")
-    return rows.groupBy("key").transformWithStateInPandas(LatestValue(value), f"key {key}, seq long, op int, value {value}", "Update", "none")
+    """The stream of newest versions (key, seq, op, value) of a stream of writes; key and value keep their types.
+
+    A key is emitted whenever a newer write comes; older and repeated writes change nothing. Spark's own
+    aggregation holds the state, and with it the time of the batch that brought the newest write, the
+    first one of equal writes: what an earlier batch brought is not emitted again. Seq and time are one
+    number, so that all is aggregated by hash. A batch that is run again after a failure has its time again.
+    """
+    now = F.unix_millis(F.current_timestamp())  # the batch's time in every row of it
+    high, low = (c.cast("decimal(19,0)") for c in (F.col("seq"), F.col("at")))
+    place = high * F.lit(str(1 << 63)).cast("decimal(19,0)") - low
+    rows = writes.selectExpr("key", "seq", "cast(op as int) op", "value").withColumn("at", now).withColumn("place", place.cast("decimal(38,0)"))
+    newest = rows.groupBy("key").agg(F.max("seq").alias("seq"), *(F.max_by(c, "place").alias(c) for c in ("op", "value", "at")))
+    return newest.filter(F.col("at") == now).select("key", "seq", "op", "value")
 
 
 def ingest(writes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -171,3 +171,17 @@ def test_blocks_of_frames_are_small_and_whole(spark):
     assert sizes[-2] <= framed_log.BLOCK < sizes[-1] < 4 * framed_log.BLOCK  # one record is longer than a block
     back = framed_log.replay(blocks).selectExpr("cast(key as string) key", "seq", "cast(op as int) op", "cast(value as string) value")
     assert back.exceptAll(log.select(*back.columns)).count() == 0 and back.count() == 25_000
+
+
+def test_newest_values_need_no_python_and_keep_nan(spark, tmp_path):
+    nan = float("nan")
+    for i, batch in enumerate(([(1, -5, 1, nan), (2, 3, 1, 3.0)], [(1, -5, 1, 7.0), (1, -6, 1, 1.0), (2, 4, 1, None), (None, 1, 0, None)])):
+        spark.createDataFrame(batch, LOG).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    out = []
+    for _ in range(2):  # the second start finds nothing new
+        stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        found = latest.latest_values(stream)
+        assert "Python" not in (plan := found._jdf.queryExecution().analyzed().toString()) and "Pandas" not in plan and "StateIn" not in plan
+        q = found.writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend((n, *r) for r in df.collect()))
+        q.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(repr, out)) == sorted(map(repr, [(0, 1, -5, 1, nan), (0, 2, 3, 1, 3.0), (1, 2, 4, 1, None), (1, None, 1, 0, None)]))
