@@ -185,3 +185,24 @@ def test_newest_values_need_no_python_and_keep_nan(spark, tmp_path):
         q = found.writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend((n, *r) for r in df.collect()))
         q.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(repr, out)) == sorted(map(repr, [(0, 1, -5, 1, nan), (0, 2, 3, 1, 3.0), (1, 2, 4, 1, None), (1, None, 1, 0, None)]))
+
+
+def test_a_streamed_machine_gets_packed_updates_with_their_nulls(spark, tmp_path):
+    import json
+
+    rows = [(i % 3, 1000 - i // 6, None if i % 5 == 0 else i % 13, i) for i in range(300)]
+    schema = "machine long, registered_ns long, type int, event_id long"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    assert machine._packed(df).count() == 3  # not a row an update
+    df.write.parquet(f"{tmp_path}/in")
+
+    def step(state, update):
+        return {"types": [*(state or {"types": []})["types"], update["type"]]}, [{"id": update["event_id"]}] * (update["event_id"] % 50 == 7)
+
+    out = []
+    q = machine.run_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), step).writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend(df.collect()))
+    q.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    want = {m: json.dumps({"types": [r[2] for r in sorted((r for r in rows if r[0] == m), key=lambda r: (r[1], r[3]))]}) for m in range(3)}
+    assert {r["machine"]: r["body"] for r in out if r["kind"] == machine.STATE} == want
+    assert {r["machine"]: r["body"] for r in machine.snapshot(spark, f"{tmp_path}/check").withColumnRenamed("state", "body").collect()} == want
+    assert sorted((r["machine"], r["registered_ns"], json.loads(r["body"])["id"]) for r in out if r["kind"] == machine.EMITTED) == sorted((r[0], r[1], r[3]) for r in rows if r[3] % 50 == 7)
